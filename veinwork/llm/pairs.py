@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veinwork.session import spread
+
 # Answers that are none, compared in lower case without white space at the ends.
 NO_ANSWER = ["n/a", "n.a.", "na", "null", "nil", "nan", "undefined", "tbd", "todo", "[]", "{}", "()", "\"\"", "''", "<empty>", "[empty]",
              "(empty)", "no answer", "no response", "[no response]", "empty"]
@@ -251,7 +253,7 @@ def label_row(prompt: str | None, response: str | None) -> tuple[str | None, lis
 
 def defective_pairs(pairs: DataFrame, least_share: float = 0.5) -> DataFrame:
     """(pair_id, defect): one row for each defective pair."""
-    rows = pairs.select("pair_id", "prompt", "response").distinct()
+    rows = spread(pairs.select("pair_id", "prompt", "response"))
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

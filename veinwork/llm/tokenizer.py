@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veinwork.session import spread
+
 DEFAULT_DIR = "/opt/tokenizers"
 #: Words whose ids a worker keeps; beyond it the table starts anew. It bounds memory only.
 WORD_TABLE = 200_000
@@ -168,7 +170,7 @@ def encode_column(texts: DataFrame, key: str, text: str, name: str = "byte_bpe_5
         for b in batches:
             yield pd.DataFrame({"k": b["k"], "ids": [auto.encode(t) for t in b["t"]]})
 
-    rows = texts.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = spread(texts.select(F.col(key).alias("k"), F.col(text).alias("t")))
     return rows.mapInPandas(run, f"k {key_type}, ids array<int>").withColumnRenamed("k", key)
 
 
@@ -181,5 +183,5 @@ def token_counts(texts: DataFrame, key: str, text: str, name: str = "byte_bpe_50
         for b in batches:
             yield pd.DataFrame({"k": b["k"], "n_tokens": [len(auto.encode(t)) for t in b["t"]]})
 
-    rows = texts.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = spread(texts.select(F.col(key).alias("k"), F.col(text).alias("t")))
     return rows.mapInPandas(run, f"k {key_type}, n_tokens bigint").withColumnRenamed("k", key)
