@@ -51,3 +51,13 @@ def bounded(df: DataFrame, limit: int) -> tuple[bool, list]:
 def broadcast_if_small(df: DataFrame, limit: int = 20_000) -> DataFrame:
     """Broadcast hint only after counting at most limit rows; a plain shuffle join otherwise."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores for a stage of heavy per-row work.
+
+    Only inputs with fewer partitions than cores (small files) are moved; large inputs
+    stay where they were read, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
