@@ -4,10 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinwork.llm import splitting, survivors, texts, tokenizer
+from veinwork.llm import markup, pairs, scans, splitting, subjects, survivors, texts, tokenizer
 from veinwork.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.scan_defects(texts.section_rows(spark, sf_dir))
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired_pages(texts.section_rows(spark, sf_dir))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.markup_found(texts.all_texts(spark, sf_dir))
+
+
+def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_texts(texts.all_texts(spark, sf_dir))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defective_pairs(table(spark, sf_dir, "prompt_pairs"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.document_subjects(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.dominant_records(table(spark, sf_dir, "entities"), table(spark, sf_dir, "extractors"))
 
@@ -28,15 +52,18 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_fused": p3_fused, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_ids": p8_ids}
+QUERIES = {
+    f.__name__: f
+    for f in (p2_found, p2_repaired, p3_found, p3_fused, p4_found, p4_clean, p5_found, p5_pieces, p7_found, p8_ids, p10_found)
+}
 
 _KEY = r"lower(trim(regexp_replace(replace(name, '_', ' '), '\s+', ' ', 'g')))"
 SQL = {
     "p3_found": rf"""
-WITH words AS (SELECT unnest({survivors.EMPTY_WORDS!r}) AS w), live AS (
+WITH live AS (
   SELECT e.ord, e.entity_type, {_KEY} AS k, coalesce(e.loaded_at, TIMESTAMP '0001-01-01') AS moment, coalesce(x.trust, 0) AS trust,
     list_unique(list_filter(list_transform(coalesce(observations, []), lambda o: trim(o, E' \t\n\r')),
-      lambda o: o IS NOT NULL AND NOT list_contains((SELECT list(w) FROM words), lower(o)) AND regexp_matches(o, '[\p{{L}}\p{{N}}]'))) AS c1,
+      lambda o: o IS NOT NULL AND NOT list_contains({survivors.EMPTY_WORDS!r}, lower(o)) AND regexp_matches(o, '[\p{{L}}\p{{N}}]'))) AS c1,
     list_unique(list_filter(coalesce(provenance, []), lambda p: trim(p.document, E' \t\n\r') <> '')) AS c2,
     list_unique(list_filter(coalesce(code_anchors, []), lambda a: trim(a.repo, E' \t\n\r') <> '' AND trim(a.path, E' \t\n\r') <> '')) AS c3,
     CASE WHEN NOT isnan(confidence) AND confidence BETWEEN 0 AND 1 THEN 1 ELSE 0 END AS c4
