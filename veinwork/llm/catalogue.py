@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinwork.llm import markup, pairs, scans, splitting, subjects, survivors, texts, tokenizer
+from veinwork.llm import markup, mixing, names, pairs, scans, splitting, subjects, survivors, texts, tokenizer
 from veinwork.session import table
 
 
@@ -24,10 +24,29 @@ def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.clean_texts(texts.all_texts(spark, sf_dir))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    agents = table(spark, sf_dir, "entities").filter("entity_type = 'agent'")
+    return names.same_entity_pairs(names.name_clusters(agents))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defective_pairs(table(spark, sf_dir, "prompt_pairs"))
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    topics = p10_found(spark, sf_dir)
+    return mixing.mixture(docs, table(spark, sf_dir, "mix_targets"), topics)
+
+
+def p9_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.document_subjects(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas")))
 
@@ -54,7 +73,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_repaired, p3_found, p3_fused, p4_found, p4_clean, p5_found, p5_pieces, p7_found, p8_ids, p10_found)
+    for f in (p2_found, p2_repaired, p3_found, p3_fused, p4_found, p4_clean, p5_found, p5_pieces, p6_found, p7_found, p8_ids, p9_sample, p9_shares, p10_found)
 }
 
 _KEY = r"lower(trim(regexp_replace(replace(name, '_', ' '), '\s+', ' ', 'g')))"
