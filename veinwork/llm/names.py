@@ -23,7 +23,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -282,11 +281,11 @@ def name_clusters(records: DataFrame) -> DataFrame:
                         out.append((o, True, " ".join(sorted(joined)) + "|" + "".join(initials), joined, "".join(initials), False, True))
             yield pd.DataFrame(out, columns=["ord", "is_name", "key", "words", "initials", "code", "variant"])
 
-    borne = raw.mapInPandas(to_forms, f"ord {ord_type}, is_name boolean, {schema}").persist(StorageLevel.MEMORY_AND_DISK)
-    forms = borne.groupBy("key").agg(F.first("words").alias("words"), F.first("initials").alias("initials"), F.min("code").alias("code"), F.min("variant").alias("variant"))
+    borne = cut(raw.mapInPandas(to_forms, f"ord {ord_type}, is_name boolean, {schema}"))
+    forms = cut(borne.groupBy("key").agg(F.first("words").alias("words"), F.first("initials").alias("initials"), F.min("code").alias("code"), F.min("variant").alias("variant")))
     tokens = forms.filter("NOT code").select("variant", F.explode(F.array_distinct("words")).alias("token"))
-    df = tokens.groupBy("token").agg(F.sum(F.when(F.col("variant"), 0).otherwise(1)).alias("df")).persist(StorageLevel.MEMORY_AND_DISK)
-    near = token_neighbours(df)
+    df = cut(tokens.groupBy("token").agg(F.sum(F.when(F.col("variant"), 0).otherwise(1)).alias("df")))
+    near = cut(token_neighbours(df))
     # the common spelling of a rare token, and how common its spelling is
     other = df.select(F.col("token").alias("other"), F.col("df").alias("df_other"))
     best = (
@@ -296,6 +295,7 @@ def name_clusters(records: DataFrame) -> DataFrame:
         .groupBy("token").agg(F.max(F.struct((-F.col("d")).alias("d"), "df_other", "other")).alias("b"))
         .select("token", F.col("b.other").alias("spelt"), F.col("b.df_other").alias("df_spelt"))
     )
+    best = cut(best)
     # a spelling may have a better one itself
     again = best.select(F.col("token").alias("spelt"), F.col("spelt").alias("spelt2"), F.col("df_spelt").alias("df2"))
     best = best.join(again, "spelt", "left").select("token", F.coalesce("spelt2", "spelt").alias("spelt"), F.greatest("df_spelt", F.coalesce("df2", F.lit(0))).alias("df_spelt"))
@@ -303,11 +303,12 @@ def name_clusters(records: DataFrame) -> DataFrame:
     spelling = df.join(best, "token", "left").select(
         "token", F.coalesce("spelt", "token").alias("spelt"), F.greatest("df", F.coalesce("df_spelt", F.lit(0))).alias("df_spelt")
     ).withColumn("df_spelt", F.when(F.col("spelt").isin(given), 1 << 40).otherwise(F.col("df_spelt")).cast("bigint"))
+    spelling = cut(spelling)
     placed = forms.filter("NOT code AND size(words) > 0").select("key", "initials", F.posexplode("words").alias("pos", "token")).join(spelling, "token")
-    with_anchor = placed.groupBy("key", "initials").agg(
+    with_anchor = cut(placed.groupBy("key", "initials").agg(
         F.sort_array(F.collect_list(F.struct("pos", "spelt"))).alias("ws"),
         F.min(F.when(F.length("spelt") >= 4, F.struct("df_spelt", (-F.length("spelt")).alias("l"), "spelt"))).alias("a"),
-    ).select("key", "initials", F.col("ws.spelt").alias("words"), F.coalesce("a.spelt", F.col("ws.spelt")[0]).alias("anchor"))
+    ).select("key", "initials", F.col("ws.spelt").alias("words"), F.coalesce("a.spelt", F.col("ws.spelt")[0]).alias("anchor")))
     # blanks inside words count only where the joined word is known from elsewhere
     known = df.filter("df > 0").select(F.col("token").alias("anchor"))
     variants = forms.filter("variant").select("key")
@@ -324,7 +325,7 @@ def name_clusters(records: DataFrame) -> DataFrame:
     )
     # an alias of initials or capitals only is no bridge to other records
     bridges = borne.filter("is_name OR code OR size(words) >= 2").select("ord", "key", "is_name").distinct()
-    held = bridges.join(clusters, "key").select("ord", "cluster").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    held = cut(bridges.join(cut(clusters), "key").select("ord", "cluster").distinct())
     return _joined(held)
 
 
