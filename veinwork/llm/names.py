@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veinwork.session import cut, spread
+from veinwork.session import cut, spread, tasks
 
 # Words of a name that don't tell whom it means.
 TITLES = set("dr prof professor mr mrs ms miss sir dame phd md msc bsc ma jr sr dipl ing ph d".split()) - {"d"}
@@ -162,7 +162,7 @@ def token_neighbours(tokens: DataFrame, per_group: int = 2000) -> DataFrame:
         out = [(q, w, d) for q in pdf.loc[pdf["asks"], "token"] for w, d in neighbours(q, trie, edit_bound(len(q))) if w != q]
         return pd.DataFrame(out, columns=["token", "other", "d"])
 
-    return asked.unionByName(held).groupBy("shard", "part").applyInPandas(run, "token string, other string, d int").distinct()
+    return asked.unionByName(held).repartition(tasks(tokens), "shard", "part").groupBy("shard", "part").applyInPandas(run, "token string, other string, d int").distinct()
 
 
 def _given_sets(words: list[str]) -> list[set[str]]:
@@ -320,7 +320,7 @@ def name_clusters(records: DataFrame) -> DataFrame:
         ids = cluster_block(forms_, pdf["anchor"].iloc[0])
         return pd.DataFrame({"key": pdf["key"].values, "cluster": [forms_[i][0] for i in ids]})
 
-    clusters = plain.groupBy("anchor").applyInPandas(resolve, "key string, cluster string").unionByName(
+    clusters = plain.repartition(tasks(plain), "anchor").groupBy("anchor").applyInPandas(resolve, "key string, cluster string").unionByName(
         forms.filter("code OR size(words) = 0").select("key", F.col("key").alias("cluster"))
     )
     # an alias of initials or capitals only is no bridge to other records
