@@ -1,7 +1,7 @@
 """All core queries and their SQL."""
 
-from veinwork.plans import refs
+from veinwork.plans import graphs, refs
 
-_PARTS = [refs]
+_PARTS = [graphs, refs]
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
