@@ -17,7 +17,7 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.markup_found(texts.all_texts(spark, sf_dir))
+    return markup.markup_found(texts.delivered_texts(spark, sf_dir))
 
 
 def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def p3_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting.oversized(texts.all_texts(spark, sf_dir), ["doc_id", "sec_no"], "text")
+    return splitting.oversized(texts.delivered_texts(spark, sf_dir), ["doc_id", "sec_no"], "text")
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,8 +121,8 @@ def _mapped(df: DataFrame, keys: list[str], schema: str, one) -> DataFrame:
 def boundary_runs(rows: DataFrame, keys: list[str], text: str, size: int = RANGE) -> DataFrame:
     """(keys, longest_run): the longest stretch without white space or sentence end in each text.
 
-    keys must be unique in rows. Ranges report their first, longest and last run; runs
-    that go on over a range end are joined when the ranges are stitched.
+    Rows of equal keys must have equal texts. Ranges report their first, longest and last
+    run; runs that go on over a range end are joined when the ranges are stitched.
     """
 
     def one(row):
@@ -133,7 +133,7 @@ def boundary_runs(rows: DataFrame, keys: list[str], text: str, size: int = RANGE
     table = _mapped(_ranges(rows, keys, text, size, 0, 0), keys, "range_no int, alone boolean, head int, longest int, tail int, whole boolean", one)
     alone = table.filter("alone").select(*keys, "longest")
     fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("range_no", "head", "longest", "tail", "whole"))),
+        F.array_sort(F.collect_set(F.struct("range_no", "head", "longest", "tail", "whole"))),
         F.struct(F.lit(0).alias("best"), F.lit(0).alias("open")),
         lambda s, r: F.struct(
             F.greatest(s.best, r.longest, s.open + r["head"]).alias("best"),
@@ -146,8 +146,9 @@ def boundary_runs(rows: DataFrame, keys: list[str], text: str, size: int = RANGE
 
 def oversized(rows: DataFrame, keys: list[str], text: str, limit: int = LIMIT) -> DataFrame:
     """(keys, cut): texts longer than limit; 'forced' if a run longer than limit has no boundary, else 'natural'."""
-    runs = boundary_runs(rows.filter(F.length(text) > limit), keys, text)
-    return runs.select(*keys, F.when(F.col("longest_run") > limit, "forced").otherwise("natural").alias("cut"))
+    long = rows.filter(F.length(text) > limit).withColumn("_text_hash", F.xxhash64(text))
+    runs = boundary_runs(long, [*keys, "_text_hash"], text)
+    return runs.select(*keys, F.when(F.col("longest_run") > limit, "forced").otherwise("natural").alias("cut")).distinct()
 
 
 def split_texts(rows: DataFrame, keys: list[str], text: str, limit: int = LIMIT, overlap: int = OVERLAP, size: int = RANGE, keep_short: bool = False) -> DataFrame:

@@ -15,7 +15,13 @@ def section_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "sec_no", "r.heading", "r.text", "r.page")
 
 
+def delivered_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, sec_no, text): sections as delivered, some twice, and full texts with sec_no 0; no shuffle."""
+    full = table(spark, sf_dir, "parsed_documents").select("doc_id", F.lit(0).alias("sec_no"), F.col("full_text").alias("text"))
+    return table(spark, sf_dir, "sections").select("doc_id", "sec_no", "text").unionByName(full)
+
+
 def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, sec_no, text): sections, and full texts with sec_no 0."""
+    """(doc_id, sec_no, text): sections, each once, and full texts with sec_no 0."""
     full = table(spark, sf_dir, "parsed_documents").select("doc_id", F.lit(0).alias("sec_no"), F.col("full_text").alias("text"))
     return section_rows(spark, sf_dir).select("doc_id", "sec_no", "text").unionByName(full)
