@@ -35,3 +35,13 @@ def test_memory_round_trip_and_exports(spark, tmp_path):
     assert [tuple(x) for x in rels.collect()] == [("A b", "C", "feeds_into")]
     assert "  A_b -->|feeds_into| C" in [x.value for x in S.mermaid_lines(e, r).collect()]
     assert S.graphml_lines(e, r).count() == 5
+
+
+def test_relation_mentions_and_schema(spark):
+    sec = spark.createDataFrame([("d", 1, "The Shock causes the loss, as ever. The loss feeds into the loss. A stranger triggers the Shock."), ("d", 2, None)], "doc_id string, sec_no int, text string")
+    ents = spark.createDataFrame([("d", "shock"), ("d", "Loss"), ("x", "stranger")], "doc_id string, name string")
+    assert [(r.source, r.target, r.relation_type) for r in X.relation_mentions(sec, ents).collect()] == [("shock", "Loss", "causes")]
+    rel = spark.createDataFrame([(1, "a", "b", "causes"), (2, "b", "a", "causes"), (3, "a", "zz", "causes"), (4, "a", "b", "odd"), (5, "b", "a", "free")], "ord long, source string, target string, relation_type string")
+    e = spark.createDataFrame([(1, "a", "agent"), (2, "b", "market")], "ord long, name string, entity_type string")
+    rules = spark.createDataFrame([("causes", ["agent"], []), ("free", [], [])], "relation_type string, domain array<string>, range array<string>")
+    assert {(r.ord, r.problem) for r in X.schema_violations(rel, e, rules).collect()} == {(2, "domain"), (4, "type")}

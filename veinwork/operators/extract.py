@@ -143,6 +143,64 @@ def entity_mentions(sections: DataFrame) -> DataFrame:
     return sections.select("doc_id", "sec_no", "text").filter("text IS NOT NULL").mapInPandas(run, "doc_id string, sec_no int, pattern int, char_offset int, name string, raw_type string, passage string")
 
 
+# Patterns of relations and the type each stands for.
+RELATION_PATTERNS = [
+    (r"(\w[\w\s]{1,30}?)\s+(?:causes?|affects?|leads?\s+to|results?\s+in)\s+(\w[\w\s]{1,30}?)(?:\.|,|;|\s+and\s+|\s+which)", "causes"),
+    (r"(\w[\w\s]{1,30}?)\s+feeds?\s+into\s+(\w[\w\s]{1,30}?)(?:\.|,|;)", "feeds_into"),
+    (r"(\w[\w\s]{1,30}?)\s+(?:is\s+)?constrained\s+by\s+(\w[\w\s]{1,30}?)(?:\.|,|;)", "constrains"),
+    (r"(\w[\w\s]{1,30}?)\s+depends?\s+on\s+(\w[\w\s]{1,30}?)(?:\.|,|;)", "feeds_into"),
+    (r"(\w[\w\s]{1,30}?)\s+propagates?\s+(?:to|through|via)\s+(\w[\w\s]{1,30}?)(?:\.|,|;)", "propagates_losses_to"),
+    (r"(\w[\w\s]{1,30}?)\s+amplif(?:y|ies)\s+(\w[\w\s]{1,30}?)(?:\.|,|;)", "amplifies"),
+    (r"(\w[\w\s]{1,30}?)\s+triggers?\s+(\w[\w\s]{1,30}?)(?:\.|,|;)", "triggers"),
+]
+
+
+def relation_mentions(sections: DataFrame, entities: DataFrame) -> DataFrame:
+    """(doc_id, sec_no, pattern, char_offset, source, target, relation_type) whose ends are entities of the document.
+
+    entities has doc_id and name; ends are compared without case, and no relation leads
+    to itself.
+    """
+    rx = [(re.compile(p, re.I), t) for p, t in RELATION_PATTERNS]
+    lead, trail = re.compile(LEADING, re.I), re.compile(TRAILING, re.I)
+
+    def tidy(raw: str) -> str:
+        return trail.sub("", lead.sub("", " ".join(raw.split()))).strip()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [
+                (d, s, k, m.start(), tidy(m[1]).lower(), tidy(m[2]).lower(), t)
+                for d, s, x in zip(b["doc_id"], b["sec_no"], b["text"]) for k, (r, t) in enumerate(rx) for m in r.finditer(x)
+            ]
+            yield pd.DataFrame(rows, columns=["doc_id", "sec_no", "pattern", "char_offset", "a", "b", "relation_type"])
+
+    raw = sections.select("doc_id", "sec_no", "text").filter("text IS NOT NULL").mapInPandas(
+        run, "doc_id string, sec_no int, pattern int, char_offset int, a string, b string, relation_type string")
+    known = entities.groupBy("doc_id", F.lower("name").alias("k")).agg(F.max("name").alias("name"))
+    a = known.select("doc_id", F.col("k").alias("a"), F.col("name").alias("source"))
+    b = known.select("doc_id", F.col("k").alias("b"), F.col("name").alias("target"))
+    return raw.join(a, ["doc_id", "a"]).join(b, ["doc_id", "b"]).filter("source <> target").drop("a", "b")
+
+
+def schema_violations(relations: DataFrame, entities: DataFrame, rules: DataFrame) -> DataFrame:
+    """(ord, problem): relations of unknown type, or whose ends are of a type the rule leaves out.
+
+    rules has relation_type, domain and range; an empty list leaves a side free. Ends that
+    are no entities are no problem here.
+    """
+    types = entities.groupBy("name").agg(F.min_by("entity_type", "ord").alias("t"))
+    r = relations.join(rules.withColumn("known", F.lit(True)), "relation_type", "left")
+    r = r.join(types.select(F.col("name").alias("source"), F.col("t").alias("ts")), "source", "left")
+    r = r.join(types.select(F.col("name").alias("target"), F.col("t").alias("tt")), "target", "left")
+
+    def outside(side: str, t: str):
+        return (F.size(side) > 0) & F.col(t).isNotNull() & ~F.array_contains(side, F.col(t))
+
+    problem = F.when(F.col("known").isNull(), "type").when(outside("domain", "ts"), "domain").when(outside("range", "tt"), "range")
+    return r.select("ord", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
 def code_entities(files: DataFrame, patterns: list[tuple[str, str, str | None, str]]) -> DataFrame:
     """(repo, path, line, symbol, entity_type) of files (repo, path, source) by patterns (kind, glob, base, type).
 
