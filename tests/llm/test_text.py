@@ -132,3 +132,31 @@ def test_scan_defects_and_repair(spark):
     assert text[2].startswith("between them.")
     empty = spark.createDataFrame([], "doc_id string, sec_no int, heading string, text string, page int")
     assert scans.scan_defects(empty).count() == 0
+
+
+def scan_words(n=300):
+    rnd = random.Random(8)
+    parts = ["ma", "ner", "to", "lic", "sand", "ver", "un", "pel", "dor", "fit", "gra", "ben", "hu", "cer", "wis"]
+    return sorted({"".join(rnd.sample(parts, rnd.randint(3, 4))) for _ in range(n)})
+
+
+@pytest.mark.parametrize("times", [1, 100])
+def test_misreadings_at_every_size(spark, times):
+    words = scan_words()
+    bad = {w.replace("n", "u", 1): w for w in words[::6] if "n" in w} | {w.replace("t", "f", 1): w for w in words[1::6] if "t" in w}
+    counts = [(w, 4000 * times) for w in words] + [(b, 10 * times) for b in bad]
+    fixes, common = scans.corrections(spark.createDataFrame(counts, "word string, n long"))
+    got = {r.word: r.right for r in fixes.collect()}
+    assert sum(got.get(b) == w for b, w in bad.items()) >= 0.95 * len(bad)
+    assert not set(words) & set(got) and not set(bad) & set(common)
+
+
+def test_frequent_misreadings_are_looked_up(spark):
+    words = [w for w in scan_words() if "nn" not in w]
+    w = next(x for x in words if x.count("t") == 1)
+    b = w.replace("t", "f")
+    rows = [("f", i, "Notes", "\n".join(" ".join(words[(j + i) % 7 :]) for j in range(60)), None) for i in range(40)]
+    rows += [("s", i, f"Page {i}", f"{words[3]} {words[4]} {b} {words[5]} {words[6]}.\n{words[7]} ﬁ{words[8]} {words[9]}.", i) for i in range(1, 31)]
+    df = spark.createDataFrame(rows, "doc_id string, sec_no int, heading string, text string, page int")
+    got = {(r.sec_no, r.line_no) for r in scans.scan_defects(df).collect() if r.defect == "misread_chars"}
+    assert got >= {(i, n) for i in range(1, 31) for n in (1, 2)}

@@ -188,8 +188,36 @@ def damaged(word: str, rng: np.random.Generator) -> str | None:
     return (word.replace(a, b) if twice else word[:at] + b + word[at + len(a) :]).lower()
 
 
-def train_ranker(common: list[tuple[str, int]], seed: int = 7) -> Boosted:
-    """Ranker from common words: damaged copies are replaced by their source, whole words by nothing."""
+def all_damaged(word: str) -> set[str]:
+    """The word with each typical recognition error, in one place or everywhere."""
+    out = set()
+    for a, b in CONFUSIONS:
+        hits = [m.start() for m in re.finditer(re.escape(a), word)]
+        out |= {(word[:at] + b + word[at + len(a) :]).lower() for at in hits}
+        if len(hits) > 1:
+            out.add(word.replace(a, b).lower())
+    return out - {word}
+
+
+def without_lookalikes(common: list[tuple[str, int]], least_ratio: float) -> list[tuple[str, int]]:
+    """The words that aren't a typical misreading of a word least_ratio times as frequent."""
+    most: dict[str, int] = {}
+    for w, n in common:
+        for bad in all_damaged(w):
+            most[bad] = max(n, most.get(bad, 0))
+    return [(w, n) for w, n in common if most.get(w, 0) < least_ratio * n]
+
+
+def train_ranker(common: list[tuple[str, int]], seed: int = 7, least_ratio: float = 8.0, far: float = 20.0) -> Boosted:
+    """Ranker from common words: damaged copies are replaced by their source, whole words by nothing.
+
+    How often the rarer word of a pair stands is drawn in proportion to the other, so that
+    the ranker is the same for a corpus many times as large.
+    """
+
+    def rarer(n: int, ratio: float) -> int:
+        return max(1, int(n / ratio ** rng.uniform(1.0, max(1.0, np.log(max(n, 2)) / np.log(ratio)))))
+
     rng = np.random.default_rng(seed)
     xs, ys = [], []
     grams = {w: set(qgrams(w)) for w, _ in common}
@@ -204,12 +232,12 @@ def train_ranker(common: list[tuple[str, int]], seed: int = 7) -> Boosted:
         near = Counter(v for g in grams[w] for v in by_gram[g] if v != w and abs(len(v) - len(w)) <= 3).most_common(6)
         for v, k in near:  # two whole words, whatever their counts
             share = k / max(len(grams[v]), len(grams[w]))
-            xs.append(features(w, v, max(1, int(rng.integers(1, 40))), count[v], share))
+            xs.append(features(w, v, rarer(count[v], least_ratio), count[v], share))
             ys.append(0.0)
         bad = damaged(w, rng)
         if bad and bad not in count:
             g = set(qgrams(bad))
-            n_bad = int(min(rng.integers(1, 12), max(1, n // 20)))
+            n_bad = rarer(n, far)
             xs.append(features(bad, w, n_bad, n, len(g & grams[w]) / max(len(g), len(grams[w]))))
             ys.append(1.0)
             for v, _ in near[:3]:
@@ -225,22 +253,25 @@ def qgrams(word: str, q: int = 2) -> list[str]:
     return sorted({w[i : i + q] for i in range(len(w) - q + 1)})
 
 
-def corrections(counts: DataFrame, max_common: int = 4000, least_ratio: float = 8.0, least_share: float = 0.2) -> tuple[DataFrame, list[str]]:
+def corrections(counts: DataFrame, max_common: int = 4000, least_ratio: float = 8.0, least_share: float = 0.2, least_rate: float = 1e-5, far: float = 20.0) -> tuple[DataFrame, list[str]]:
     """((word, right), common words): misread words with what they should be.
 
     counts has (word, n) over the whole corpus. The common words that train the ranker are
-    a bounded list; candidates are searched for every word among all words.
+    a bounded list of words with at least least_rate of the corpus and no look-alike that
+    is far more frequent; candidates are searched for every word among all words. The
+    right word is least_ratio times as frequent, and far times where chance can't explain less.
     """
-    spark = counts.sparkSession
-    common = [(r.word, r.n) for r in counts.filter("n >= 20 AND word RLIKE '^[\\\\p{L}][\\\\p{L}’\\'-]+$'").orderBy(F.desc("n"), "word").limit(max_common).collect()]
-    model = train_ranker(common) if common else Boosted()
+    least = max(20.0, least_rate * (counts.agg(F.sum("n")).first()[0] or 0))
+    frequent = counts.filter((F.col("n") >= least) & F.col("word").rlike(r"^[\p{L}][\p{L}’'-]+$"))
+    common = without_lookalikes([(r.word, r.n) for r in frequent.orderBy(F.desc("n"), "word").limit(max_common).collect()], far)
+    model = train_ranker(common, least_ratio=least_ratio, far=far) if common else Boosted()
     gram_list = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(F.concat(F.lit("^"), F.col("word"), F.lit("$")), i, F.lit(2))))
     words = counts.filter((F.length("word") >= 3) & (F.length("word") <= 40)).select("word", "n", F.length("word").alias("len"), gram_list.alias("grams"))
     seen = words.select(F.col("word").alias("seen"), F.col("n").alias("n_seen"), F.col("len").alias("len_seen"), F.size("grams").alias("g_seen"), F.explode("grams").alias("gram"))
     right = words.filter(F.col("n") >= least_ratio).select(F.col("word").alias("right"), F.col("n").alias("n_right"), F.col("len").alias("len_right"), F.size("grams").alias("g_right"), F.explode("grams").alias("gram"))
     pairs = (
         seen.join(right, "gram")
-        .filter((F.col("n_right") >= least_ratio * F.col("n_seen")) & (F.abs(F.col("len_seen") - F.col("len_right")) <= 3))
+        .filter((F.col("n_right") >= F.greatest(least_ratio * F.col("n_seen"), far * (F.col("n_seen") - 2 * F.sqrt("n_seen")))) & (F.abs(F.col("len_seen") - F.col("len_right")) <= 3))
         .groupBy("seen", "right", "n_seen", "n_right")
         .agg((F.count("*") / F.greatest(F.max("g_seen"), F.max("g_right"))).alias("share"))
         .filter(F.col("share") >= least_share)
@@ -260,7 +291,17 @@ def corrections(counts: DataFrame, max_common: int = 4000, least_ratio: float =
         pairs.mapInPandas(rank, "word string, right string, p double")
         .groupBy("word").agg(F.max(F.struct("p", "right")).alias("b")).select("word", "b.right")
     )
-    return best, [w for w, _ in common]
+    return _followed(best), [w for w, _ in common]
+
+
+def _followed(fixes: DataFrame) -> DataFrame:
+    """A right word that is itself a misreading is replaced by its own right word, which is more frequent, to the end."""
+    while True:
+        fixes = fixes.persist(StorageLevel.MEMORY_AND_DISK)
+        again = fixes.select(F.col("word").alias("right"), F.col("right").alias("right2"))
+        if fixes.join(again, "right", "left_semi").limit(1).count() == 0:
+            return fixes
+        fixes = fixes.join(again, "right", "left").select("word", F.coalesce("right2", "right").alias("right"))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -356,8 +397,11 @@ def goes_on(part: str, after: str | None) -> bool:
     return lexical(after) not in OPEN_PREFIX
 
 
-def page_defects(text: str, kinds: list[str], next_word: str | None, common: set[str]) -> tuple[list[tuple[int, str]], list[tuple[int, str, int, int]]]:
-    """((line, defect)), ((line, word to look up, length of its first part, line of the rest)); lines from 1."""
+def page_defects(text: str, kinds: list[str], next_word: str | None, common: set[str], skip: set[str]) -> tuple[list[tuple[int, str]], list[tuple[int, str, int, int]]]:
+    """((line, defect)), ((line, word to look up, length of its first part, line of the rest)); lines from 1.
+
+    common are whole words, which decide how a broken word goes on; words of skip need no look-up.
+    """
     lines = text.split("\n")
     body = [i for i, k in enumerate(kinds) if k == "body"]
     defects, asked = [], []
@@ -385,8 +429,8 @@ def page_defects(text: str, kinds: list[str], next_word: str | None, common: set
                 defects.append((i + 1, "line_hyphen"))
                 known = [(w, j) for w, j in after if lexical(part + w) in common or any(lexical(p) in common for p in [f"{part}-{w}"])]
                 w, j = (known or after)[0]
-                whole = lexical(part + w)
-                if whole not in common and f"{lexical(part)}-{lexical(w)}" not in common:
+                whole, dashed = lexical(part + w), f"{lexical(part)}-{lexical(w)}"
+                if whole not in skip and dashed not in skip:
                     asked.append((i + 1, whole, len(part.lstrip(_STRIP)), j + 1 if j >= 0 else 0))
                 if j >= 0:
                     rest_of[j] = w
@@ -395,12 +439,12 @@ def page_defects(text: str, kinds: list[str], next_word: str | None, common: set
             toks = toks[1:]
         for t in toks:
             w = lexical(t)
-            if not w or w in common or not any(c.isalpha() for c in w) or _CJK.search(w):
+            if not w or w in skip or not any(c.isalpha() for c in w) or _CJK.search(w):
                 continue
             asked.append((i + 1, w, 0, 0))
             pieces = w.split("-")
             if len(pieces) > 1:
-                asked += [(i + 1, p, 0, 0) for p in pieces if len(p) > 2 and p not in common]
+                asked += [(i + 1, p, 0, 0) for p in pieces if len(p) > 2 and p not in skip]
     return defects, asked
 
 
@@ -408,15 +452,21 @@ def page_defects(text: str, kinds: list[str], next_word: str | None, common: set
 _ODD = re.compile(r"[a-zà-ÿ][0-9¢$|+][a-zà-ÿ]|^[0-9][a-zà-ÿ]{3,}|[a-zà-ÿ]{2,}[0-9]$|[ɑﬁﬂ¢]|[a-zà-ÿ]\.[a-zà-ÿ]{2,}", re.I)
 
 
-def _found(pages: DataFrame, common: list[str]) -> DataFrame:
-    """Defects that a page shows by itself, and the words to look up (defect is null)."""
+def _found(pages: DataFrame, common: list[str], fixes: DataFrame) -> DataFrame:
+    """Defects that a page shows by itself, and the words to look up (defect is null).
+
+    Common words are looked up too, but those that look right and have no entry in fixes.
+    """
     known = set(common)
+    spark = pages.sparkSession
+    held = spark.createDataFrame([(w,) for w in common], "word string").join(fixes, "word", "left_semi").collect() if common else []
+    skip = {w for w in known - {r.word for r in held} if not _ODD.search(w)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for d, s, t, k, nw in zip(b["doc_id"], b["sec_no"], b["text"], b["kinds"], b["next_word"]):
-                defects, asked = page_defects(t, list(k), nw, known)
+                defects, asked = page_defects(t, list(k), nw, known, skip)
                 out += [(d, s, n, x, None, 0, 0) for n, x in defects]
                 for n, w, cut, rest in asked:
                     out.append((d, s, n, None, w, cut, rest))
@@ -430,8 +480,8 @@ def _found(pages: DataFrame, common: list[str]) -> DataFrame:
 def _prepared(sections: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     fixes, common = corrections(word_counts(sections).persist(StorageLevel.MEMORY_AND_DISK))
     pages = with_neighbours(classified_pages(spread(scanned_pages(sections))).persist(StorageLevel.MEMORY_AND_DISK))
-    found = _found(pages, common).persist(StorageLevel.MEMORY_AND_DISK)
-    return pages, found, broadcast_if_small(fixes.persist(StorageLevel.MEMORY_AND_DISK), 50_000)
+    found = _found(pages, common, fixes).persist(StorageLevel.MEMORY_AND_DISK)
+    return pages, found, broadcast_if_small(fixes, 50_000)
 
 
 def scan_defects(sections: DataFrame) -> DataFrame:
