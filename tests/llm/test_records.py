@@ -1,4 +1,5 @@
 import datetime as dt
+import itertools
 import random
 
 from veinwork.llm import mixing, names, subjects, survivors
@@ -83,6 +84,15 @@ def test_names_link_variants_only(spark):
     assert got == want
 
 
+def test_a_typo_in_many_names_is_a_typo(spark):
+    places = ["".join(x) for x in itertools.product(["hart", "norke", "vellu"], ["lomack", "tnuumi", "bassin", "gorthe"], ["stead", "well", "drup"])]
+    rows = [(i, f"{p} Systemic Bureau") for i, p in enumerate(places)] + [(100 + i, f"{places[i]} Sysremic Bureau") for i in range(4)]
+    rows += [(200 + i, f"{places[i]} Systolic Bureau") for i in range(4, 16)]  # another word, half as frequent
+    df = spark.createDataFrame(rows, "ord long, name string").selectExpr("*", "CAST(NULL AS ARRAY<STRING>) AS aliases")
+    got = {(r.ord_a, r.ord_b) for r in names.same_entity_pairs(names.name_clusters(df)).collect()}
+    assert got == {(i, 100 + i) for i in range(4)}
+
+
 def test_raking_meets_sources_within_caps():
     cells = {("a", "en", "x"): 100.0, ("a", "de", "x"): 50.0, ("b", "en", "y"): 40.0}
     caps, want = {"a": 1.0, "b": 3.0}, {"a": 90.0, "b": 90.0}

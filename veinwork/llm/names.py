@@ -260,8 +260,13 @@ def cluster_block(forms: list[tuple[str, list[str], str]], anchor: str) -> list[
     return [find(i) for i in range(n)]
 
 
-def name_clusters(records: DataFrame) -> DataFrame:
-    """(ord, cluster): records of one person or organisation share the cluster."""
+def name_clusters(records: DataFrame, least_ratio: float = 8.0) -> DataFrame:
+    """(ord, cluster): records of one person or organisation share the cluster.
+
+    A token takes the spelling of a neighbour that stands in least_ratio times as many
+    forms, whatever their numbers; in one or two forms, of any that is at least as common.
+    Short forms of given names and words of organisations are no misspellings.
+    """
     ord_type = records.schema["ord"].dataType.simpleString()
     raw = spread(records.select("ord", F.explode(F.array_distinct(F.array_compact(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))))).alias("raw"), "name"))
     schema = "key string, words array<string>, initials string, code boolean, variant boolean"
@@ -287,11 +292,12 @@ def name_clusters(records: DataFrame) -> DataFrame:
     df = cut(tokens.groupBy("token").agg(F.sum(F.when(F.col("variant"), 0).otherwise(1)).alias("df")))
     near = cut(token_neighbours(df))
     # the common spelling of a rare token, and how common its spelling is
+    given = sorted(set(_NICK) | {v for vs in _NICK.values() for v in vs} | ORG_WORDS)
     other = df.select(F.col("token").alias("other"), F.col("df").alias("df_other"))
     best = (
         near.join(df, "token").join(other, "other")
-        .filter("df <= 2 AND (df_other > df OR (df_other = df AND other < token))")
-        .filter("df_other > 0")
+        .filter(((F.col("df") <= 2) & ((F.col("df_other") > F.col("df")) | ((F.col("df_other") == F.col("df")) & (F.col("other") < F.col("token"))))) | ((F.col("df") > 2) & (F.col("df_other") >= least_ratio * F.col("df"))))
+        .filter((F.col("df_other") > 0) & ~F.col("token").isin(given))
         .groupBy("token").agg(F.max(F.struct((-F.col("d")).alias("d"), "df_other", "other")).alias("b"))
         .select("token", F.col("b.other").alias("spelt"), F.col("b.df_other").alias("df_spelt"))
     )
@@ -299,7 +305,6 @@ def name_clusters(records: DataFrame) -> DataFrame:
     # a spelling may have a better one itself
     again = best.select(F.col("token").alias("spelt"), F.col("spelt").alias("spelt2"), F.col("df_spelt").alias("df2"))
     best = best.join(again, "spelt", "left").select("token", F.coalesce("spelt2", "spelt").alias("spelt"), F.greatest("df_spelt", F.coalesce("df2", F.lit(0))).alias("df_spelt"))
-    given = sorted(set(_NICK) | {v for vs in _NICK.values() for v in vs} | ORG_WORDS)
     spelling = df.join(best, "token", "left").select(
         "token", F.coalesce("spelt", "token").alias("spelt"), F.greatest("df", F.coalesce("df_spelt", F.lit(0))).alias("df_spelt")
     ).withColumn("df_spelt", F.when(F.col("spelt").isin(given), 1 << 40).otherwise(F.col("df_spelt")).cast("bigint"))
