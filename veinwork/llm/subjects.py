@@ -231,8 +231,8 @@ class Chain:
 def document_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, max_labels: int = 20_000, terms_per_subject: int = 3000, rounds: int = 2, least_share: float = 1 / 3, beam: int = 4) -> DataFrame:
     """(doc_id, subject): subjects that at least least_share of a document's text is about.
 
-    The chain proposes the sets; a proposed subject is kept if its measured share reaches
-    least_share, and a subject that reaches it clearly is not lost to a low prior.
+    The measured share by the lexicon decides: every subject that clearly reaches
+    least_share is given. The chain decides only within 0.02 above it.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = spread(docs.select("doc_id", "text", "source").filter(F.col("text").isNotNull() & (F.trim("text") != "")))
