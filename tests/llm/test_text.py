@@ -160,3 +160,16 @@ def test_frequent_misreadings_are_looked_up(spark):
     df = spark.createDataFrame(rows, "doc_id string, sec_no int, heading string, text string, page int")
     got = {(r.sec_no, r.line_no) for r in scans.scan_defects(df).collect() if r.defect == "misread_chars"}
     assert got >= {(i, n) for i in range(1, 31) for n in (1, 2)}
+
+
+def test_running_heads_beyond_any_list(spark):
+    heads = [f"On the {a} of {b}" for a in ("tide", "harvest", "canal", "mortgage", "weather", "ledger") for b in ("copper", "velvet", "orchards", "minstrels", "Jutland", "glass")]
+    assert len(heads) == 36
+    body = "a long first body line that runs to the margin of the page and goes on without a stop there\nand a second body line that is about as long as the one above it and ends here."
+    rows = [("d", i, f"Page {i}", f"{heads[i // 3].lower().replace('the', 'thc' if i % 3 == 2 else 'the')}\n\n{body.replace('long', f'long {i}')}", i) for i in range(108)]
+    rows += [("e", i, f"Page {i}", f"{heads[0].lower()}\n\n{body.replace('long', f'long {i}')}", i) for i in range(3)]
+    pages = spark.createDataFrame(rows, "doc_id string, sec_no int, heading string, text string, page int").select("doc_id", "sec_no", "text")
+    got = [(r.doc_id, r.sec_no) for r in scans.classified_pages(pages).collect() if r.kinds[0] == "header"]
+    assert sorted(got) == sorted((d, s) for d, s, *_ in rows)
+    long_ = [(r.doc_id, r.sec_no, tuple(r.kinds)) for r in scans.classified_pages(pages, most_listed=0).collect()]
+    assert sorted(long_) == sorted((r.doc_id, r.sec_no, tuple(r.kinds)) for r in scans.classified_pages(pages, most_listed=100).collect())

@@ -328,8 +328,61 @@ def scanned_pages(sections: DataFrame) -> DataFrame:
     return sections.join(docs, "doc_id", "left_semi").filter("text IS NOT NULL AND trim(text) <> ''").select("doc_id", "sec_no", "text")
 
 
-def classified_pages(pages: DataFrame) -> DataFrame:
-    """(doc_id, sec_no, text, kinds): the class of each line of each page."""
+def edge_keys(text: str) -> list[str]:
+    """Header keys of the lines at a page's ends that may be running headers."""
+    lines = text.split("\n")
+    ends = [lines[i] for idx in _edges(lines) for i in idx]
+    return sorted({k for l in ends if l.strip()[-1] not in ".,;!?" and len(k := header_key(l)) >= 8})
+
+
+def _headers_by_page(pages: DataFrame, recurring: DataFrame) -> DataFrame:
+    """(doc_id, sec_no, headers): for each page the recurring keys that its edge lines equal or resemble.
+
+    Keys similar by similar() have 0.2 of their joint length, less one, of pairs of signs in
+    common, repeated pairs counted; so pairs are joined by these and lose nothing.
+    """
+    docs = recurring.select("doc_id").distinct()
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(d, s, k) for d, s, t in zip(b["doc_id"], b["sec_no"], b["text"]) for k in edge_keys(t)], columns=["doc_id", "sec_no", "key"])
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for d, k in zip(b["doc_id"], b["key"]):
+                n: Counter = Counter()
+                for i in range(len(k) - 1):
+                    g = k[i : i + 2]
+                    rows.append((d, k, f"{g}{n[g]}"))
+                    n[g] += 1
+            yield pd.DataFrame(rows, columns=["doc_id", "key", "gram"])
+
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[similar(k, h) for k, h in zip(b["key"], b["header"])]][["doc_id", "key", "header"]]
+
+    of_page = pages.join(docs, "doc_id", "left_semi").select("doc_id", "sec_no", "text").mapInPandas(keys, "doc_id string, sec_no int, key string")
+    of_page = of_page.persist(StorageLevel.MEMORY_AND_DISK)
+    known = recurring.select("doc_id", "key").distinct()
+    left = of_page.select("doc_id", "key").distinct().join(known, ["doc_id", "key"], "left_anti").mapInPandas(grams, "doc_id string, key string, gram string")
+    right = known.mapInPandas(grams, "doc_id string, key string, gram string").withColumnRenamed("key", "header")
+    near = (
+        left.join(right, ["doc_id", "gram"]).groupBy("doc_id", "key", "header").agg(F.count("*").alias("shared"))
+        .filter(F.col("shared") >= 0.2 * (F.length("key") + F.length("header")) - 1)
+        .mapInPandas(alike, "doc_id string, key string, header string")
+        .groupBy("doc_id", "key").agg(F.min("header").alias("header"))
+    )
+    found = known.withColumn("header", F.col("key")).unionByName(near)
+    return of_page.join(found, ["doc_id", "key"]).groupBy("doc_id", "sec_no").agg(F.collect_set(F.concat(F.lit("2"), "header")).alias("own"))
+
+
+def classified_pages(pages: DataFrame, most_listed: int = 24) -> DataFrame:
+    """(doc_id, sec_no, text, kinds): the class of each line of each page.
+
+    A document's recurring edge lines are sent to each of its pages if they are at most
+    most_listed; otherwise they are joined to the pages' edge lines.
+    """
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -339,17 +392,21 @@ def classified_pages(pages: DataFrame) -> DataFrame:
             yield out
 
     found = pages.mapInPandas(edges, "doc_id string, zone string, key string, offset bigint").groupBy("doc_id", "zone", "key", "offset").agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
-    rank = Window.partitionBy("doc_id").orderBy(F.desc("n"), "key")
+    recurring = found.filter("key <> '' AND n >= 2").select("doc_id", "key").distinct()
+    sizes = recurring.groupBy("doc_id").agg(F.count("*").alias("n"))
     headers = (
-        found.filter("key <> ''").withColumn("r", F.row_number().over(rank)).filter("r <= 24")
-        .groupBy("doc_id").agg(F.collect_list(F.concat(F.least("n", F.lit(9)).cast("string"), F.col("key"))).alias("headers"))
+        recurring.join(sizes.filter(F.col("n") <= most_listed), "doc_id", "left_semi")
+        .groupBy("doc_id").agg(F.collect_list(F.concat(F.lit("2"), "key")).alias("headers"))
     )
+    long_docs = recurring.join(sizes.filter(F.col("n") > most_listed), "doc_id", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
     offsets = (
         found.filter("offset IS NOT NULL").groupBy("doc_id", "offset").agg(F.sum("n").alias("n"))
         .groupBy("doc_id").agg(F.max(F.struct("n", F.expr("-abs(offset)"), "offset")).alias("o"), F.sum("n").alias("n_numbered"))
         .select("doc_id", "o.offset", "n_numbered")
     )
     joined = pages.join(headers, "doc_id", "left").join(offsets, "doc_id", "left")
+    if long_docs.limit(1).count():
+        joined = joined.join(_headers_by_page(pages, long_docs), ["doc_id", "sec_no"], "left").withColumn("headers", F.coalesce("headers", "own")).drop("own")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
