@@ -2,6 +2,8 @@ import datetime as dt
 import itertools
 import random
 
+import pytest
+
 from veinwork.llm import mixing, names, subjects, survivors
 
 T = dt.datetime
@@ -49,6 +51,14 @@ def test_fused_fields(spark):
     assert ("observations", "one") in got and ("confidence", "0.500") in got
 
 
+def test_too_many_vote_patterns_are_an_error(spark):
+    trust = spark.createDataFrame([("manual", 4)], "extracted_by string, trust int")
+    rows = [(1, "a", "x", ["one"], 0.5, "manual", T(2024, 1, 1), None), (2, "a", "x", ["one", "two"], 0.5, "llm", T(2024, 1, 1), None)]
+    with pytest.raises(ValueError):
+        survivors.fused_fields(ent(spark, rows), trust, most_patterns=1)
+    assert survivors.fused_fields(ent(spark, rows), trust, most_patterns=5).count() > 0
+
+
 def test_automaton_finds_all_neighbours():
     def dist(a, b):
         d = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
