@@ -45,6 +45,13 @@ def test_strong_components(spark):
     assert got == {"a": "a", "b": "a", "c": "c", "d": "c", "e": "e"}
 
 
+def test_unfinished_strong_components_are_an_error(spark):
+    e = edges(spark, [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c")])
+    with pytest.raises(RuntimeError):
+        G.strong_components(e, most_rounds=1)
+    assert G.strong_components(e, most_rounds=2).count() == 4
+
+
 def test_k_hop_and_unknown_root(spark):
     e = edges(spark, [("a", "b"), ("c", "b"), ("c", "d")])
     assert {(r.name, r.hops) for r in G.k_hop(e, "a", 2).collect()} == {("a", 0), ("b", 1), ("c", 2)}

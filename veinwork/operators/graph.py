@@ -198,20 +198,24 @@ def cascade_depth(edges: DataFrame, most_rounds: int = 1000) -> int:
     raise RuntimeError("no fixed point")
 
 
-def strong_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def strong_components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(name, scc): nodes of strongly connected components of two or more nodes, or with a self loop.
 
     Nodes that lie on no cycle are trimmed; then the least name that reaches a node and
-    the least name that it reaches split the rest, until they agree.
+    the least name that it reaches split the rest, until they agree. Each round ends at
+    least one component; more rounds than most_rounds, if given, are a RuntimeError.
     """
     e = cut(edges.select(F.col("source").alias("s"), F.col("target").alias("t")).distinct())
     loops = e.filter("s = t").select(F.col("s").alias("name")).distinct()
     left = e.filter("s <> t")
-    done = None
-    for _ in range(most_rounds):
+    done, rounds = None, 0
+    while True:
         left = _trimmed(left)
         if left.limit(1).count() == 0:
             break
+        if rounds == most_rounds:
+            raise RuntimeError("no fixed point")
+        rounds += 1
         fwd, back = _spread_min(left, "s", "t"), _spread_min(left, "t", "s")
         same = fwd.withColumnRenamed("m", "f").join(back.withColumnRenamed("m", "b"), "n")
         part = cut(same.filter("f = b").select(F.col("n").alias("name"), F.col("f").alias("scc")))
