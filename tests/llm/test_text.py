@@ -3,7 +3,7 @@ from pathlib import Path
 
 import pytest
 
-from veinwork.llm import markup, pairs, scans, splitting
+from veinwork.llm import lines, markup, pairs, scans, splitting
 from veinwork.llm.tokenizer import DEFAULT_DIR, automaton, encode_column
 
 
@@ -111,12 +111,54 @@ def test_pair_defects(spark):
 
 
 def test_scan_lines():
-    assert [scans.number_of(x) for x in ("- 12 -", "Page 4", "iv", "p. l2", "6.08", "(3)", "scenario.")] == [12, 4, 4, 12, None, None, None]
+    assert [lines.number_of(x) for x in ("- 12 -", "Page 4", "iv", "p. l2", "6.08", "(3)", "scenario.")] == [12, 4, 4, 12, None, None, None]
     assert scans.hyphen_at("the unemp¬ ") == "unemp" and scans.hyphen_at("a - ") is None
-    assert scans.goes_on("short", "medium") and not scans.goes_on("short", "and")
+    model = lines.train_lines(plain_texts(150), [])
+    assert model.goes_on("the use of short-", "term credit", 18, False, False) and not model.goes_on("the use of short-", "and", 18, False, False)
     assert scans.confusion_cost("moves", "rnoves") < 0.5 and scans.confusion_cost("queue", "qiieiie") < 0.5 and scans.confusion_cost("stays", "delay") > 1
 
 
+def plain_texts(n, seed=4):
+    rnd = random.Random(seed)
+    words = ["the", "of", "and", "in", "market", "weather", "river", "short-term", "growth", "between", "account", "settled", "long-run", "transport", "orchard", "measure", "depends", "on"]
+    return [" ".join(" ".join(rnd.choice(words) for _ in range(rnd.randint(5, 14))).capitalize() + "." for _ in range(rnd.randint(5, 30))) for _ in range(n)]
+
+
+def test_line_classifiers_on_held_out_pages():
+    import numpy as np
+
+    model = lines.train_lines(plain_texts(150), [])
+    hits = wrong = joins = bad = 0
+    for doc in lines.made_documents(plain_texts(60, 9), np.random.default_rng(3)):
+        keys, offsets = {}, {}
+        for no, (page, _, _) in enumerate(doc, 1):
+            for key, n in lines.edge_rows("\n".join(page)):
+                into, k = (keys, key) if n is None else (offsets, n - no)
+                into[k] = into.get(k, 0) + 1
+        for no, (page, marks, on) in enumerate(doc, 1):
+            kinds = model.kinds("\n".join(page), [k for k, n in keys.items() if n > 1], [k for k, n in offsets.items() if n > 1], sum(offsets.values()) > 1, no)
+            found = {i for i, k in enumerate(kinds) if k in ("header", "number", "header+number")}
+            hits += len(found & set(marks))
+            wrong += len(found ^ set(marks))
+            for i, goes in on.items():
+                after = next((page[j].split()[0] for j in range(i + 1, len(page)) if page[j].strip() and j not in marks), None)
+                if after and after[0].isalpha():
+                    joins += 1
+                    bad += model.goes_on(page[i], after, max(map(len, page)), False, False) != bool(goes)
+    assert hits > 50 and wrong <= 0.06 * hits, (hits, wrong)
+    assert joins > 200 and bad <= 0.03 * joins, (joins, bad)
+
+
+def test_short_heads_and_short_words(spark):
+    body = [f"the {w} of the market is settled and it depends on the account of the weather in the orchard between" for w in ("growth", "measure", "river", "transport", "harvest", "season")]
+    rows = [("f", i, "Notes", t, None) for i, t in enumerate(plain_texts(60))]
+    rows += [("s", i, f"Page {i}", f"INDEX\n\n{b}\nand the use 0f the market 1s settled in the account of growth.", i) for i, b in enumerate(body, 1)]
+    df = spark.createDataFrame(rows, "doc_id string, sec_no int, heading string, text string, page int")
+    got = {(r.sec_no, r.line_no, r.defect) for r in scans.scan_defects(df).collect()}
+    assert {(i, 1, "running_header") for i in range(1, 7)} <= got
+    assert {(i, 4, "misread_chars") for i in range(1, 7)} <= got
+
+
 def test_scan_defects_and_repair(spark):
     body = "the economic growth of many regions depends upon labour markets and upon trade between them over longer periods"
     filler = [("f", i, "Notes", " ".join([body] * 3), None) for i in range(1, 41)]
@@ -169,7 +211,7 @@ def test_running_heads_beyond_any_list(spark):
     rows = [("d", i, f"Page {i}", f"{heads[i // 3].lower().replace('the', 'thc' if i % 3 == 2 else 'the')}\n\n{body.replace('long', f'long {i}')}", i) for i in range(108)]
     rows += [("e", i, f"Page {i}", f"{heads[0].lower()}\n\n{body.replace('long', f'long {i}')}", i) for i in range(3)]
     pages = spark.createDataFrame(rows, "doc_id string, sec_no int, heading string, text string, page int").select("doc_id", "sec_no", "text")
-    got = [(r.doc_id, r.sec_no) for r in scans.classified_pages(pages).collect() if r.kinds[0] == "header"]
+    got = [(r.doc_id, r.sec_no) for r in scans.classified_pages(pages, lines.train_lines(plain_texts(150), [])).collect() if r.kinds[0] == "header"]
     assert sorted(got) == sorted((d, s) for d, s, *_ in rows)
     long_ = [(r.doc_id, r.sec_no, tuple(r.kinds)) for r in scans.classified_pages(pages, most_listed=0).collect()]
     assert sorted(long_) == sorted((r.doc_id, r.sec_no, tuple(r.kinds)) for r in scans.classified_pages(pages, most_listed=100).collect())
