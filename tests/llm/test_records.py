@@ -146,3 +146,20 @@ def test_subjects_on_held_out_documents(spark):
     assert sum(got.get(i, set()) == want[i] for i in held) >= 0.95 * len(held)
     assert not {900, 901} & set(got)
     assert subjects.document_subjects(df.limit(0), lab, areas).count() == 0
+    with pytest.raises(ValueError):
+        subjects.document_subjects(df, lab, areas, max_subjects=1)
+
+
+def test_the_chain_decides_on_subjects():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    share = rng.dirichlet((1, 1, 1), 1500)
+    x = subjects._features(share, np.full(1500, 900.0), np.ones(1500), ["s"] * 1500, ["s"], 1 / 3)
+    y = (share[:, :2] >= 1 / 3).astype(float)
+    chain = subjects.Chain(x[:1000], y[:1000], 2).calibrate(x[1000:1200], y[1000:1200])
+    assert (chain.decode_all(x[1200:]) == y[1200:]).mean() > 0.98
+    # where two subjects never go together the chain doesn't give both
+    y[:, 1] *= 1 - y[:, 0]
+    apart = subjects.Chain(x[:1000], y[:1000], 2).decode_all(x[1200:])
+    assert (apart.sum(1) == 2).mean() < 0.02

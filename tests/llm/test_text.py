@@ -103,6 +103,29 @@ PAIRS = [
 ]
 
 
+def test_copies_by_compression():
+    prompt = "Describe in two sentences how the water level of the upper reservoir depends on the rainfall of the past month and on the gates of the dam."
+    assert pairs.copies_prompt(prompt, prompt.replace("rainfall", "snowfall")) and pairs.copies_prompt(prompt, f"Question: {prompt}")
+    assert pairs.copies_prompt(prompt + " " + "Here is a passage. " * 3, prompt) and pairs.copies_prompt("Straße und Fluß, groß wie nie", "STRASSE UND FLUSS, GROSS WIE NIE")
+    assert not pairs.copies_prompt(prompt, prompt + " It rises by a metre for each week of rain, and falls as soon as a gate is opened.")
+    assert not pairs.copies_prompt(prompt, "It depends on the gates of the dam.") and not pairs.copies_prompt(None, prompt)
+
+
+def test_long_refusals_and_answers_after_an_apology():
+    long_ = "I'm sorry, but I can't help with that request. As an assistant I am bound by my policies. " + "If you have another question, I will gladly look at it with you. " * 8
+    assert len(long_) > 581 and pairs.is_refusal(long_)
+    assert pairs.is_refusal("Mi dispiace, ma non posso rispondere a questa domanda.") and pairs.is_refusal("Infelizmente, não posso ajudar com isso.")
+    assert not pairs.is_refusal("I cannot say for sure. " + "The gearbox turns the shaft and the shaft turns the wheel. " * 4)
+
+
+def test_parallel_items_are_whole(spark):
+    rows = [(1, "List three causes of the flood.", "1. Rain feeds the flood\n2. Melting snow drives the flood\n3. An open gate worsens the flood"), (2, "List three causes of the flood.", "1. Rain feeds the flood\n2. Melting snow drives the flood\n3. An open ga")]
+    rows += [(i, "Say more.", "The flood takes the bridge. The gate holds the water back.") for i in range(3, 30)]
+    df = spark.createDataFrame(rows, "pair_id long, prompt string, response string")
+    assert [tuple(r) for r in pairs.defective_pairs(df).collect()] == [(2, "truncated")]
+    assert [tuple(r) for r in pairs.defective_pairs(df, most_asked=0).collect()] == [(2, "truncated")]
+
+
 def test_pair_defects(spark):
     rows = [(i, p, r) for i, p, r, _ in PAIRS] + [(1, "Why?", None)]
     df = spark.createDataFrame(rows, "pair_id long, prompt string, response string").selectExpr("*", "'x' AS defect")
@@ -211,7 +234,8 @@ def test_running_heads_beyond_any_list(spark):
     rows = [("d", i, f"Page {i}", f"{heads[i // 3].lower().replace('the', 'thc' if i % 3 == 2 else 'the')}\n\n{body.replace('long', f'long {i}')}", i) for i in range(108)]
     rows += [("e", i, f"Page {i}", f"{heads[0].lower()}\n\n{body.replace('long', f'long {i}')}", i) for i in range(3)]
     pages = spark.createDataFrame(rows, "doc_id string, sec_no int, heading string, text string, page int").select("doc_id", "sec_no", "text")
-    got = [(r.doc_id, r.sec_no) for r in scans.classified_pages(pages, lines.train_lines(plain_texts(150), [])).collect() if r.kinds[0] == "header"]
+    model = lines.train_lines(plain_texts(150), [])
+    got = [(r.doc_id, r.sec_no) for r in scans.classified_pages(pages, model).collect() if r.kinds[0] == "header"]
     assert sorted(got) == sorted((d, s) for d, s, *_ in rows)
-    long_ = [(r.doc_id, r.sec_no, tuple(r.kinds)) for r in scans.classified_pages(pages, most_listed=0).collect()]
-    assert sorted(long_) == sorted((r.doc_id, r.sec_no, tuple(r.kinds)) for r in scans.classified_pages(pages, most_listed=100).collect())
+    long_ = [(r.doc_id, r.sec_no, tuple(r.kinds)) for r in scans.classified_pages(pages, model, most_listed=0).collect()]
+    assert sorted(long_) == sorted((r.doc_id, r.sec_no, tuple(r.kinds)) for r in scans.classified_pages(pages, model, most_listed=100).collect())

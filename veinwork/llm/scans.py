@@ -516,6 +516,7 @@ def _found(pages: DataFrame, model: LineModel, common: list[str], fixes: DataFra
 
 
 def _prepared(sections: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, LineModel]:
+    sections = sections.select("doc_id", "sec_no", "heading", "text", "page").persist(StorageLevel.MEMORY_AND_DISK)  # texts were shuffled once to drop rows delivered twice
     counts = word_counts(sections).persist(StorageLevel.MEMORY_AND_DISK)
     fixes, common = corrections(counts)
     model = line_model(sections, common)

@@ -5,31 +5,36 @@ all others: sentences that the terms known so far assign clearly teach the terms
 them, over the whole corpus and in every language. A document's features are the shares
 of its text by subject, its structure and its source. A chain of calibrated logistic
 classifiers, one for each subject and each fed with the decisions before it, models which
-subjects go together; beam search finds the most probable set of subjects.
+subjects go together; beam search finds the most probable set of subjects, which decides.
 
-The classifier is fitted on at most max_labels labelled documents, chosen by hash; the
+Each text is split into terms once; what follows works on hashes of terms in arrays. The
+classifiers are fitted on at most max_labels labelled documents, chosen by hash, and on
+documents made of their sentences in known shares, since few hand labels lie near the
+least share; a part of the labelled documents is held out and calibrates the chain. The
 term statistics cover all documents. The model holds at most terms_per_subject terms for
 each subject, which bounds what is sent to the workers.
 
 Defined cases: null and blank texts and texts of no known subject give no row; label rows
 without subject or without a document are left out; equal documents get equal subjects;
-texts are read whole; other columns are not read.
+texts are read whole; other columns are not read; more than max_subjects subjects are a
+ValueError.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veinwork.session import spread
+from veinwork.session import bounded, spread
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*|\n+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[一-鿿]+")
@@ -52,110 +57,131 @@ def sentences(text: str) -> list[str]:
     return [s for s in _SENTENCE.split(text) if s and not s.isspace()]
 
 
+_hashes: dict[str, int] = {}
+
+
+def term_hash(term: str) -> int:
+    """A term as a number other than 0; frequent terms are kept at hand."""
+    h = _hashes.get(term)
+    if h is None:
+        h = xxhash.xxh3_64_intdigest(term.encode("utf-8", "surrogatepass")) - (1 << 63) or 1
+        if len(_hashes) < 200_000:
+            _hashes[term] = h
+    return h
+
+
+@dataclass
+class Sentences:
+    """The sentences of a batch of texts: their documents, lengths and terms, all in flat arrays."""
+
+    n_docs: int
+    doc: np.ndarray
+    length: np.ndarray
+    term: np.ndarray
+    of: np.ndarray
+
+    @staticmethod
+    def split(text: str) -> tuple[list[int], list[int], list[int]]:
+        """(length of each sentence, number of its terms, all terms) of one text."""
+        found = sentences(text)
+        words = [terms(x) for x in found]
+        return [len(x) for x in found], [len(w) for w in words], [term_hash(t) for w in words for t in w]
+
+    @classmethod
+    def of_rows(cls, lengths, sizes, hashed) -> Sentences:
+        n = [len(x) for x in lengths]
+        flat = [np.concatenate([np.asarray(x, dtype=np.int64) for x in col]) if len(col) else np.zeros(0, np.int64) for col in (lengths, sizes, hashed)]
+        return cls(len(n), np.repeat(np.arange(len(n)), n), flat[0], flat[2], np.repeat(np.arange(len(flat[1])), flat[1]))
+
+
 @dataclass
 class Lexicon:
-    """Scores of terms by subject; unknown terms say nothing."""
+    """Scores of term hashes by subject; unknown terms say nothing."""
 
     subjects: list[str]
-    rows: dict[str, np.ndarray]
+    keys: np.ndarray
+    matrix: np.ndarray
     margin: float = 2.0
 
-    def __post_init__(self) -> None:
-        self.index = {t: i for i, t in enumerate(self.rows)}
-        self.matrix = np.array(list(self.rows.values())).reshape(len(self.rows), len(self.subjects))
-
-    def subject_of(self, sentence: str) -> int:
-        """Number of the subject of a sentence, or -1."""
-        return self.subject_of_terms(terms(sentence))
-
-    def subject_of_terms(self, words: list[str]) -> int:
-        known = [i for t in words if (i := self.index.get(t)) is not None]
-        if not known or len(self.subjects) < 2:
-            return -1
-        total = self.matrix[known].sum(0)
-        k = int(total.argmax())
-        first, total[k] = total[k], -1e9
-        return k if first - total.max() >= self.margin else -1
-
-    def shares(self, text: str, cache: dict) -> np.ndarray:
-        """Share of the text's characters that each subject holds, then the share of none."""
-        out = np.zeros(len(self.subjects) + 1)
-        for s in sentences(text):
-            k = cache.get(s)
-            if k is None:
-                k = self.subject_of(s)
-                if len(cache) < 100_000:
-                    cache[s] = k
-            out[k] += len(s)
-        return out / max(1.0, out.sum())
-
-
-def lexicon_from_counts(counts: dict[str, np.ndarray], totals: np.ndarray, subjects: list[str], per_subject: int, least: float = 2.0) -> Lexicon:
+    def subjects_of(self, s: Sentences) -> np.ndarray:
+        """Number of the subject of each sentence, or -1."""
+        n, k = len(s.doc), len(self.subjects)
+        if not len(self.keys) or k < 2 or not n:
+            return np.full(n, -1)
+        at = np.searchsorted(self.keys, s.term)
+        known = self.keys[np.minimum(at, len(self.keys) - 1)] == s.term
+        at, of = at[known], s.of[known]
+        total = np.stack([np.bincount(of, weights=self.matrix[at, j], minlength=n) for j in range(k)], axis=1)
+        any_known = np.bincount(of, minlength=n) > 0
+        best = total.argmax(1)
+        two = np.partition(total, k - 2, axis=1)[:, k - 2 :]
+        return np.where(any_known & (two[:, 1] - two[:, 0] >= self.margin), best, -1)
+
+    def shares(self, s: Sentences, subject: np.ndarray | None = None) -> np.ndarray:
+        """Share of each text's characters that each subject holds, then the share of none."""
+        k = len(self.subjects)
+        of = self.subjects_of(s) if subject is None else subject
+        out = np.bincount(s.doc * (k + 1) + np.where(of < 0, k, of), weights=s.length, minlength=s.n_docs * (k + 1)).reshape(s.n_docs, k + 1)
+        return out / np.maximum(1.0, out.sum(1, keepdims=True))
+
+
+def lexicon_from_counts(keys: np.ndarray, counts: np.ndarray, totals: np.ndarray, subjects: list[str], per_subject: int, least: float = 2.0) -> Lexicon:
     """Terms that one subject holds clearly, with log odds against the mean of all subjects."""
-    ranked: list[list[tuple[float, str]]] = [[] for _ in subjects]
-    scored = {}
+    n = counts.sum(1)
     rate0 = (totals + 1.0) / (totals.sum() + len(subjects))
-    for term, c in counts.items():
-        n = c.sum()
-        if n < least:
-            continue
-        rate = (c + 0.2) / (totals + 2.0)
-        logs = np.log(rate)
-        score = np.clip(logs - logs.mean(), -4, 4)
-        top = np.partition(score, -2)[-2:]
-        if top[1] - top[0] < 0.7:
-            continue
-        s = int(score.argmax())
-        ranked[s].append((-(c[s] * math.log((c[s] + 0.5) / (n * rate0[s] + 0.5) + 1e-9)), term))
-        scored[term] = score
-    keep = {t for r in ranked for _, t in sorted(r)[:per_subject]}
-    return Lexicon(subjects, {t: scored[t] for t in keep})
-
-
-def seed_lexicon(labelled: list[tuple[str, list[str]]], subjects: list[str], per_subject: int) -> Lexicon:
-    counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(subjects)))
-    totals = np.zeros(len(subjects))
-    for text, names in labelled:
-        ks = [subjects.index(n) for n in names]
-        for k in ks:
-            totals[k] += 1 / len(ks)
-        for t in set(terms(text)):
-            for k in ks:
-                counts[t][k] += 1 / len(ks)
-    return lexicon_from_counts(counts, totals, subjects, per_subject, least=1.5)
-
-
-def _grown(docs: DataFrame, lex: Lexicon, per_subject: int) -> Lexicon:
+    logs = np.log((counts + 0.2) / (totals + 2.0))
+    score = np.clip(logs - logs.mean(1, keepdims=True), -4, 4)
+    order = np.sort(score, axis=1)
+    clear = (n >= least) & (order[:, -1] - order[:, -2] >= 0.7) if len(subjects) > 1 else n >= least
+    s = score.argmax(1)
+    own = counts[np.arange(len(keys)), s] if len(keys) else np.zeros(0)
+    gain = own * np.log((own + 0.5) / (n * rate0[s] + 0.5) + 1e-9)
+    keep: list[int] = []
+    for k in range(len(subjects)):
+        mine = np.flatnonzero(clear & (s == k))
+        keep += mine[np.lexsort((keys[mine], -gain[mine]))[:per_subject]].tolist()
+    rows = np.array(sorted(keep, key=lambda i: keys[i]), dtype=int)
+    return Lexicon(subjects, keys[rows], score[rows])
+
+
+def seed_lexicon(split: Sentences, names: list[list[str]], subjects: list[str], per_subject: int) -> Lexicon:
+    """The lexicon of labelled documents: each term counts once a document, for each of its labels alike."""
+    k = len(subjects)
+    weight = np.zeros((len(names), k))
+    for i, own in enumerate(names):
+        weight[i, [subjects.index(n) for n in own]] = 1 / len(own)
+    doc_term = np.unique(np.stack([s for s in (split.doc[split.of], split.term)], axis=1), axis=0) if len(split.term) else np.zeros((0, 2), np.int64)
+    keys, at = np.unique(doc_term[:, 1], return_inverse=True)
+    counts = np.stack([np.bincount(at, weights=weight[doc_term[:, 0], j], minlength=len(keys)) for j in range(k)], axis=1) if len(keys) else np.zeros((0, k))
+    return lexicon_from_counts(keys, counts, weight.sum(0), subjects, per_subject, least=1.5)
+
+
+def _grown(split: DataFrame, lex: Lexicon, per_subject: int) -> Lexicon:
     """The lexicon that all sentences teach which lex assigns clearly."""
     n = len(lex.subjects)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got: Counter = Counter()
-            total = np.zeros(n)
-            for text in b["text"]:
-                words = [terms(s) for s in sentences(text)]
-                ks = [lex.subject_of_terms(w) for w in words]
-                most = Counter(k for k in ks if k >= 0).most_common(1)
-                clear = most[0][0] if most and most[0][1] >= 0.6 * len(ks) else -1
-                for w, k in zip(words, ks):
-                    if clear >= 0:
-                        k = clear  # what a sentence says of itself would only confirm itself
-                    if k >= 0:
-                        total[k] += 1
-                        got.update([(t, k) for t in set(w)])
-            rows: dict[str, list[int]] = defaultdict(lambda: [0] * n)
-            for (t, k), c in got.items():
-                rows[t][k] += c
-            yield pd.DataFrame({"term": [*rows, ""], "c": [*rows.values(), [int(x) for x in total]]})
+            s = Sentences.of_rows(b["lengths"], b["sizes"], b["hashed"])
+            ks = lex.subjects_of(s)
+            by_doc = np.bincount(s.doc[ks >= 0] * n + ks[ks >= 0], minlength=s.n_docs * n).reshape(s.n_docs, n)
+            top = by_doc.argmax(1)
+            # what a sentence says of itself would only confirm itself; its document says it if it is clear
+            clear = by_doc.max(1, initial=0) >= np.maximum(1, 0.6 * np.bincount(s.doc, minlength=s.n_docs))
+            ks = np.where(clear[s.doc], top[s.doc], ks)
+            total = np.bincount(ks[ks >= 0], minlength=n)
+            at = s.of[ks[s.of] >= 0]
+            pair = np.unique(np.stack([at, s.term[ks[s.of] >= 0]], axis=1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+            keys, inv = np.unique(pair[:, 1], return_inverse=True)
+            c = np.bincount(inv * n + ks[pair[:, 0]], minlength=len(keys) * n).reshape(len(keys), n)
+            yield pd.DataFrame({"term": np.append(keys, 0), **{f"c{j}": np.append(c[:, j], total[j]) for j in range(n)}})
 
+    cols = [f"c{i}" for i in range(n)]
     counted = (
-        docs.select("text").mapInPandas(count, "term string, c array<bigint>")
-        .groupBy("term").agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(n)])
-        .persist()
+        split.select("lengths", "sizes", "hashed").mapInPandas(count, "term bigint, " + ", ".join(f"{c} bigint" for c in cols))
+        .groupBy("term").agg(*[F.sum(c).alias(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
     )
-    cols = [f"c{i}" for i in range(n)]
-    total_row = counted.filter("term = ''").select(*cols).collect()
+    total_row = counted.filter("term = 0").select(*cols).collect()
     totals = np.array([float(x or 0) for x in total_row[0]]) if total_row else np.zeros(n)
     # for each subject the terms with the most sentences beyond their share: a bounded list
     both = sum((F.col(c) for c in cols), F.lit(0))
@@ -163,26 +189,27 @@ def _grown(docs: DataFrame, lex: Lexicon, per_subject: int) -> Lexicon:
     for i, c in enumerate(cols):
         share = totals[i] / max(1.0, totals.sum())
         gain = F.col(c) * F.log((F.col(c) + 0.5) / (both * F.lit(float(share)) + 0.5))
-        top = counted.filter((F.col("term") != "") & (both >= 3) & (F.col(c) > 0.5 * both)).orderBy(gain.desc(), "term").limit(per_subject)
+        top = counted.filter((F.col("term") != 0) & (both >= 3) & (F.col(c) > 0.5 * both)).orderBy(gain.desc(), "term").limit(per_subject)
         picked = top if picked is None else picked.unionByName(top)
-    counts = {r.term: np.array([float(r[c]) for c in cols]) for r in picked.collect()} if picked is not None else {}
+    rows = {r.term: [float(r[c]) for c in cols] for r in picked.collect()} if picked is not None else {}
     counted.unpersist()
-    return lexicon_from_counts(counts, totals, lex.subjects, per_subject, least=3)
+    keys = np.array(list(rows), dtype=np.int64)
+    return lexicon_from_counts(keys, np.array(list(rows.values())).reshape(len(rows), n), totals, lex.subjects, per_subject, least=3)
 
 
-def _features(shares: np.ndarray, text: str, source: str | None, sources: list[str]) -> np.ndarray:
-    n_par = text.count("\n\n") + 1
-    shape = [math.log1p(len(text)) / 10, math.log1p(n_par) / 3, float(shares[:-1].max(initial=0.0)), float(shares[-1])]
-    return np.concatenate([shares[:-1], shape, [float(source == s) for s in sources]])
+def _features(shares: np.ndarray, n_chars: np.ndarray, n_paragraphs: np.ndarray, source: list, sources: list[str], least_share: float) -> np.ndarray:
+    """Shares by subject, their places around the least share, structure and source of each text."""
+    shape = np.stack([np.log1p(n_chars) / 10, np.log1p(n_paragraphs) / 3, shares[:, :-1].max(1, initial=0.0), shares[:, -1]], axis=1)
+    return np.hstack([shares[:, :-1], np.tanh(15 * (shares[:, :-1] - least_share)), shape, np.array([[float(x == s) for s in sources] for x in source]).reshape(len(source), len(sources))])
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.02, steps: int = 300) -> np.ndarray:
-    """Weights of a ridge-penalised logistic regression, by Newton steps with a fallback to small ones."""
+def _fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.002, steps: int = 40) -> np.ndarray:
+    """Weights of a ridge-penalised logistic regression, by Newton steps."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x1.shape[1])
     pen = np.full(x1.shape[1], l2 * len(x) / 10)
     pen[-1] = 1e-6
-    for _ in range(min(steps, 40)):
+    for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
         g = x1.T @ (p - y) + pen * w
         h = (x1 * (p * (1 - p) + 1e-6)[:, None]).T @ x1 + np.diag(pen + 1e-6)
@@ -199,70 +226,136 @@ class Chain:
     def __init__(self, x: np.ndarray, y: np.ndarray, n_share: int):
         self.order = [int(k) for k in np.argsort(-y.sum(0), kind="stable")]
         self.n_share = n_share
-        self.weights = []
-        for pos, k in enumerate(self.order):
-            self.weights.append(_fit_logistic(self._input(x, y, pos, k), y[:, k]))
+        self.weights = [_fit_logistic(self._input(x, y, pos, k), y[:, k]) for pos, k in enumerate(self.order)]
 
     def _input(self, x: np.ndarray, y: np.ndarray, pos: int, k: int) -> np.ndarray:
-        others = np.delete(x[:, : self.n_share], k, axis=1).max(axis=1, initial=0.0)
+        n = self.n_share
+        others = np.delete(x[:, :n], k, axis=1).max(axis=1, initial=0.0)
         before = y[:, self.order[:pos]]
-        return np.hstack([10 * x[:, [k]], 5 * others[:, None], x[:, self.n_share :], before, before.sum(1, keepdims=True)])
-
-    def decode_all(self, x: np.ndarray, width: int = 4) -> list[list[int]]:
-        """The most probable set of subjects for each row of features."""
-        none = np.zeros((len(x), len(self.order)))
-        bases = [np.hstack([self._input(x, none, pos, k), np.ones((len(x), 1))]) @ self.weights[pos] for pos, k in enumerate(self.order)]
-        links = [(w[len(w) - 2 - pos : len(w) - 2].tolist(), float(w[-2])) for pos, w in enumerate(self.weights)]
-        out = []
-        for row in range(len(x)):
-            beams: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
-            for pos in range(len(self.order)):
-                base, (before, count) = float(bases[pos][row]), links[pos]
-                grown = []
-                for logp, chosen in beams:
-                    z = max(-30.0, min(30.0, base + sum(before[j] for j in chosen) + count * len(chosen)))
-                    lost = math.log1p(math.exp(-z))
-                    grown += [(logp - lost, (*chosen, pos)), (logp - lost - z, chosen)]
-                beams = sorted(grown, key=lambda b: -b[0])[:width]
-            out.append(sorted(self.order[j] for j in beams[0][1]))
+        return np.hstack([10 * x[:, [k]], 5 * x[:, [n + k]], 5 * others[:, None], x[:, 2 * n :], before, before.sum(1, keepdims=True)])
+
+    def _logits(self, x: np.ndarray, y: np.ndarray, pos: int) -> np.ndarray:
+        return np.hstack([self._input(x, y, pos, self.order[pos]), np.ones((len(x), 1))]) @ self.weights[pos]
+
+    def calibrate(self, x: np.ndarray, y: np.ndarray, steps: int = 60) -> Chain:
+        """Scale all decision values by one factor, so that they are right as probabilities on labels not used before."""
+        z = np.concatenate([self._logits(x, y, pos) for pos in range(len(self.order))])
+        t = np.concatenate([y[:, k] for k in self.order])
+        a = 1.0
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(a * z, -30, 30)))
+            a -= (z @ (p - t) + (a - 1.0)) / ((z * z) @ (p * (1 - p)) + 1.0)
+            a = min(3.0, max(0.05, a))
+        self.weights = [a * w for w in self.weights]
+        return self
+
+    def decode_all(self, x: np.ndarray, width: int = 4) -> np.ndarray:
+        """The most probable set of subjects of each row of features, as zeros and ones."""
+        n, k = len(x), len(self.order)
+        none = np.zeros((n, k))
+        logp = np.full((n, width), -np.inf)
+        logp[:, 0] = 0.0
+        chosen = np.zeros((n, width, k))  # in chain order
+        for pos in range(k):
+            w = self.weights[pos]
+            before, count = w[len(w) - 2 - pos : len(w) - 2], w[-2]
+            z = np.clip(self._logits(x, none, pos)[:, None] + chosen[:, :, :pos] @ before + count * chosen.sum(2), -30, 30)
+            lost = np.log1p(np.exp(-z))
+            both = np.hstack([logp - lost, logp - lost - z])
+            top = np.argsort(-both, axis=1, kind="stable")[:, :width]
+            logp = np.take_along_axis(both, top, axis=1)
+            chosen = np.take_along_axis(chosen, (top % width)[:, :, None], axis=1)
+            chosen[:, :, pos] = top < width
+        out = np.zeros((n, k))
+        out[:, self.order] = chosen[:, 0]
         return out
 
 
-def document_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, max_labels: int = 20_000, terms_per_subject: int = 3000, rounds: int = 2, least_share: float = 1 / 3, beam: int = 4) -> DataFrame:
-    """(doc_id, subject): subjects that at least least_share of a document's text is about.
+def made_shares(split: Sentences, subject: np.ndarray, y: np.ndarray, n_made: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shares, characters, paragraphs) of documents made of the labelled documents' sentences.
 
-    The measured share by the lexicon decides: every subject that clearly reaches
-    least_share is given. The chain decides only within 0.02 above it.
+    A made document takes the subjects of one labelled document and sentences of them, of
+    one other subject and of none, in random numbers.
     """
+    k = y.shape[1]
+    pools = [split.length[subject == j] for j in range(k)] + [split.length[subject < 0]]
+    shares, chars = np.zeros((n_made, k + 1)), np.zeros(n_made)
+    for i in range(n_made):
+        own = np.flatnonzero(y[rng.integers(len(y))]).tolist()
+        for j in {*own, int(rng.integers(k)), k}:
+            if len(pools[j]):
+                shares[i, j] = pools[j][rng.integers(len(pools[j]), size=int(rng.integers(0, 12)))].sum()
+        chars[i] = shares[i].sum()
+    return shares / np.maximum(1.0, chars[:, None]), chars, rng.integers(1, 9, n_made).astype(float)
+
+
+def fit_chain(lex: Lexicon, split: Sentences, text: list[str], source: list, y: np.ndarray, sources: list[str], least_share: float, n_made: int = 4000, held_out: float = 0.2, seed: int = 3) -> Chain:
+    """The chain from labelled and made documents, calibrated on the held-out part of the labelled ones."""
+    rng = np.random.default_rng(seed)
+    subject = lex.subjects_of(split)
+    shares = lex.shares(split, subject)
+    x = _features(shares, np.array([len(t) for t in text]), np.array([t.count("\n\n") + 1 for t in text]), source, sources, least_share)
+    held = rng.random(len(y)) < held_out if len(y) >= 50 else np.zeros(len(y), bool)
+    made, chars, pars = made_shares(split, subject, y[~held], n_made, rng)
+    mx = _features(made, chars, pars, [source[i] for i in rng.integers(0, len(source), n_made)], sources, least_share)
+    my = (made[:, :-1] >= least_share).astype(float)
+    chain = Chain(np.vstack([x[~held], mx]), np.vstack([y[~held], my]), len(lex.subjects))
+    return chain.calibrate(x[held], y[held]) if held.any() else chain
+
+
+def split_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, n_chars, n_paragraphs, lengths, sizes, hashed): each text as its sentences and hashes of their terms."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            parts = [Sentences.split(t) for t in b["text"]]
+            yield pd.DataFrame({
+                "doc_id": b["doc_id"], "source": b["source"], "n_chars": [len(t) for t in b["text"]], "n_paragraphs": [t.count("\n\n") + 1 for t in b["text"]],
+                "lengths": [p[0] for p in parts], "sizes": [p[1] for p in parts], "hashed": [p[2] for p in parts],
+            })
+
     rows = spread(docs.select("doc_id", "text", "source").filter(F.col("text").isNotNull() & (F.trim("text") != "")))
-    names = sorted(r.subject for r in subjects.select("subject").filter("subject IS NOT NULL").distinct().limit(1000).collect())
+    return rows.mapInPandas(run, f"doc_id {id_type}, source string, n_chars int, n_paragraphs int, lengths array<int>, sizes array<int>, hashed array<bigint>")
+
+
+def document_subjects(
+    docs: DataFrame, labels: DataFrame, subjects: DataFrame, max_labels: int = 8_000, terms_per_subject: int = 3000, rounds: int = 2, least_share: float = 1 / 3, beam: int = 4, max_subjects: int = 1000
+) -> DataFrame:
+    """(doc_id, subject): subjects that at least least_share of a document's text is about, by the decoded chain."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    fits, rows = bounded(subjects.select("subject").filter("subject IS NOT NULL").distinct(), max_subjects)
+    if not fits:
+        raise ValueError(f"more than {max_subjects} subjects")
+    names = sorted(r.subject for r in rows)
     empty = docs.sparkSession.createDataFrame([], f"doc_id {id_type}, subject string")
     if not names:
         return empty
     given = labels.filter(F.col("subject").isin(names)).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("names"))
+    chosen = given.filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     sample = (
-        rows.join(given, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels).select("text", "source", "names").collect()
+        docs.select("doc_id", "text", "source").filter(F.col("text").isNotNull() & (F.trim("text") != ""))
+        .join(F.broadcast(chosen), "doc_id").select("text", "source", "names").collect()
     )
     if not sample:
         return empty
-    lex = seed_lexicon([(r.text, list(r.names)) for r in sample], names, terms_per_subject)
+    sample.sort(key=lambda r: (r.text, r.source or "", r.names))
+    split = split_texts(docs).persist(StorageLevel.MEMORY_AND_DISK)
+    known = Sentences.of_rows(*zip(*[Sentences.split(r.text) for r in sample]))
+    lex = seed_lexicon(known, [list(r.names) for r in sample], names, terms_per_subject)
     for _ in range(rounds):
-        lex = _grown(rows, lex, terms_per_subject)
-    cache: dict = {}
+        lex = _grown(split, lex, terms_per_subject)
     sources = [s for s, _ in Counter(r.source for r in sample if r.source).most_common(30)]
-    x = np.array([_features(lex.shares(r.text, cache), r.text, r.source, sources) for r in sample])
     y = np.array([[float(n in r.names) for n in names] for r in sample])
-    chain = Chain(x, y, len(names))
+    chain = fit_chain(lex, known, [r.text for r in sample], [r.source for r in sample], y, sources, least_share)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict = {}
         for b in batches:
-            shares = [lex.shares(t, cache) for t in b["text"]]
-            x = np.array([_features(v, t, src, sources) for v, t, src in zip(shares, b["text"], b["source"])])
-            out = []
-            for d, v, sets in zip(b["doc_id"], shares, chain.decode_all(x, beam)):
-                out += [(d, names[k]) for k in np.flatnonzero(v[:-1] >= least_share) if k in sets or v[k] >= least_share + 0.02]
-            yield pd.DataFrame(out, columns=["doc_id", "subject"])
-
-    return rows.mapInPandas(run, f"doc_id {id_type}, subject string").distinct()
+            if not len(b):
+                continue
+            shares = lex.shares(Sentences.of_rows(b["lengths"], b["sizes"], b["hashed"]))
+            x = _features(shares, b["n_chars"].to_numpy(), b["n_paragraphs"].to_numpy(), list(b["source"]), sources, least_share)
+            row, k = np.nonzero(chain.decode_all(x, beam) * (shares[:, :-1] > 0))
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[row], "subject": [names[j] for j in k]})
+
+    return split.mapInPandas(run, f"doc_id {id_type}, subject string").distinct()
