@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Patterns of names of entities; the type is the second group or 'concept'.
@@ -41,48 +41,112 @@ def markdown_sections(text: str) -> list[tuple[str, int, str]]:
     return [(h, n, body) for h, n, lines in out if (body := "\n".join(lines).strip())]
 
 
-class _Headed(HTMLParser):
-    """Collects text by heading."""
+def markdown_title(text: str) -> str | None:
+    """The first heading of level one."""
+    return next((m[2].strip() for line in text.split("\n") if (m := _HEAD.match(line)) and len(m[1]) == 1), None)
+
+
+_VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+
+
+class _Tree(HTMLParser):
+    """A light tree of elements: [tag, children], text as strings."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.parts: list[tuple[str, int, list[str]]] = []
-        self.head: list[str] | None = None
-        self.skip = 0
+        self.root: list = ["", []]
+        self.open = [self.root]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("script", "style"):
-            self.skip += 1
-        elif re.fullmatch(r"h[1-6]", tag):
-            self.head = []
-            self.parts.append(("", int(tag[1]), []))
+        if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and self.open[-1][0] == tag:
+            self.open.pop()  # closed by the next of its kind
+        node: list = [tag, []]
+        self.open[-1][1].append(node)
+        if tag not in _VOID:
+            self.open.append(node)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style"):
-            self.skip = max(0, self.skip - 1)
-        elif self.head is not None and re.fullmatch(r"h[1-6]", tag):
-            _, level, body = self.parts[-1]
-            self.parts[-1] = ("".join(self.head).strip(), level, body)
-            self.head = None
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at][0] == tag:
+                del self.open[at:]
+                return
 
     def handle_data(self, data: str) -> None:
-        if self.skip:
-            return
-        if self.head is not None:
-            self.head.append(data)
-        elif self.parts:
-            self.parts[-1][2].append(data)
+        if self.open[-1][0] not in ("script", "style"):
+            self.open[-1][1].append(data)
 
 
-def html_sections(text: str) -> list[tuple[str, int, str]]:
-    p = _Headed()
+def _tree(text: str) -> list:
+    p = _Tree()
     p.feed(text)
-    found = [(h, n, " ".join(" ".join(b).split())) for h, n, b in p.parts]
-    return [f for f in found if f[2]] or [("Full Text", 1, " ".join(re.sub(r"<[^>]+>", " ", text).split()))]
+    p.close()
+    return p.root
+
+
+def _strings(node: list | str) -> Iterator[str]:
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            if x.strip():
+                yield x.strip()
+        else:
+            stack += reversed(x[1])
+
+
+def _elements(node: list) -> Iterator[tuple[list, list, int]]:
+    """(element, its parent, its place there) in the order of the text."""
+    stack = [(node, i) for i in reversed(range(len(node[1])))]
+    while stack:
+        parent, i = stack.pop()
+        child = parent[1][i]
+        if not isinstance(child, str):
+            yield child, parent, i
+            stack += [(child, k) for k in reversed(range(len(child[1])))]
+
+
+_HEADING = re.compile(r"h[1-6]")
+
+
+def html_title(text: str) -> str | None:
+    """The title element, else the first heading of level one."""
+    root = _tree(text)
+    for tag in ("title", "h1"):
+        found = next((e for e, _, _ in _elements(root) if e[0] == tag), None)
+        if found is not None:
+            return "".join(_strings(found))
+    return None
+
+
+def html_sections(text: str) -> list[tuple[str, int, str]]:
+    """(heading, level, body) of each heading whose following siblings, up to the next heading beside them, hold text."""
+    root = _tree(text)
+    heads = [x for x in _elements(root) if _HEADING.fullmatch(x[0][0])]
+    if not heads:
+        body = "\n".join(_strings(root))
+        return [("Full Text", 1, body)] if body else []
+    out = []
+    for e, parent, i in heads:
+        parts = []
+        for sibling in parent[1][i + 1 :]:
+            if not isinstance(sibling, str) and _HEADING.fullmatch(sibling[0]):
+                break
+            t = sibling.strip() if isinstance(sibling, str) else "".join(_strings(sibling))
+            if t:
+                parts.append(t)
+        if parts:
+            out.append(("".join(_strings(e)), int(e[0][1]), "\n".join(parts)))
+    return out
 
 
 def chunks(text: str, size: int = 2500, overlap: int = 500) -> list[tuple[int, int]]:
-    """Windows of a text, cut after the last full stop in their second half; each begins overlap before the last one's end."""
+    """Windows of a text, cut after the last full stop in their second half; each begins overlap before the last one's end.
+
+    A text of at most size is one window. The last window may lie within the one before,
+    since its start counts from the uncut end.
+    """
+    if len(text) <= size:
+        return [(0, len(text))]
     out, start = [], 0
     while start < len(text):
         end = start + size
@@ -91,27 +155,42 @@ def chunks(text: str, size: int = 2500, overlap: int = 500) -> list[tuple[int, i
             if stop > start + size // 2:
                 end = stop + 1
         out.append((start, min(end, len(text))))
-        start = end - overlap if end - overlap > start else end
-        if end >= len(text) + overlap:
-            break
+        start = end - overlap
     return out
 
 
 def first_json(text: str) -> object:
-    """The JSON in an answer: all of it, a fenced block, or the first balanced value; ValueError without any."""
-    tries = [text, *re.findall(r"```(?:json)?\s*(.*?)```", text, re.S)]
-    for at, ch in enumerate(text):
-        if ch in "{[":
-            tries.append(text[at:])
-            break
-    for t in tries:
+    """The JSON in an answer: all of it, a fenced block, or the first balanced object, then list; ValueError without any."""
+    t = text.strip()
+    tries = [t]
+    if m := re.search(r"```(?:json)?\s*\n(.*?)```", t, re.S):
+        tries.append(m[1].strip())
+    for begin, end in ("{}", "[]"):
+        at, depth = t.find(begin), 0
+        for i in range(at, len(t)) if at >= 0 else ():
+            depth += (t[i] == begin) - (t[i] == end)
+            if depth == 0:
+                tries.append(t[at : i + 1])
+                break
+    for x in tries:
         try:
-            return json.JSONDecoder().raw_decode(t.strip())[0]
+            return json.loads(x)
         except ValueError:
             continue
     raise ValueError("no JSON in the answer")
 
 
+def chunk_rows(sections: DataFrame, size: int = 2500, overlap: int = 500, least_chars: int = 20) -> DataFrame:
+    """(doc_id, sec_no, chunk_no, char_start, text) of sections with at least least_chars characters between white space."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(d, s, k, i, t[i:j]) for d, s, t in zip(b["doc_id"], b["sec_no"], b["text"]) if len(t.strip()) >= least_chars for k, (i, j) in enumerate(chunks(t, size, overlap))]
+            yield pd.DataFrame(rows, columns=["doc_id", "sec_no", "chunk_no", "char_start", "text"])
+
+    return sections.select("doc_id", "sec_no", "text").filter("text IS NOT NULL").mapInPandas(run, "doc_id string, sec_no int, chunk_no int, char_start int, text string")
+
+
 def sections_of(documents: DataFrame, kind: str = "markdown") -> DataFrame:
     """(doc_id, sec_no, heading, level, text) from documents of columns doc_id, full_text."""
     split = {"markdown": markdown_sections, "html": html_sections}[kind]
@@ -155,11 +234,11 @@ RELATION_PATTERNS = [
 ]
 
 
-def relation_mentions(sections: DataFrame, entities: DataFrame) -> DataFrame:
+def relation_mentions(sections: DataFrame, entities: DataFrame, relation_types: list[str] | None = None) -> DataFrame:
     """(doc_id, sec_no, pattern, char_offset, source, target, relation_type) whose ends are entities of the document.
 
     entities has doc_id and name; ends are compared without case, and no relation leads
-    to itself.
+    to itself. Of a type outside relation_types it is relates_to, else the first type.
     """
     rx = [(re.compile(p, re.I), t) for p, t in RELATION_PATTERNS]
     lead, trail = re.compile(LEADING, re.I), re.compile(TRAILING, re.I)
@@ -170,7 +249,7 @@ def relation_mentions(sections: DataFrame, entities: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [
-                (d, s, k, m.start(), tidy(m[1]).lower(), tidy(m[2]).lower(), t)
+                (d, s, k, m.start(), tidy(m[1]).lower(), tidy(m[2]).lower(), t if not relation_types or t in relation_types else "relates_to" if "relates_to" in relation_types else relation_types[0])
                 for d, s, x in zip(b["doc_id"], b["sec_no"], b["text"]) for k, (r, t) in enumerate(rx) for m in r.finditer(x)
             ]
             yield pd.DataFrame(rows, columns=["doc_id", "sec_no", "pattern", "char_offset", "a", "b", "relation_type"])
@@ -201,16 +280,29 @@ def schema_violations(relations: DataFrame, entities: DataFrame, rules: DataFram
     return r.select("ord", problem.alias("problem")).filter("problem IS NOT NULL")
 
 
-def code_entities(files: DataFrame, patterns: list[tuple[str, str, str | None, str]]) -> DataFrame:
-    """(repo, path, line, symbol, entity_type) of files (repo, path, source) by patterns (kind, glob, base, type).
+_CODE_PATTERN = re.compile(r"^(?:(def)\s+(\S+)|(class)\s+(\S+?)\s*(?:\(\s*(.+?)\s*\))?|(\S+)\s*=)\s*$")
+
 
-    kind is def, class or assign. Files that don't parse are skipped.
+def code_pattern(raw: str) -> tuple[str, str, str | None] | None:
+    """(kind, name glob, base glob) of 'def G', 'class G', 'class G(B)' or 'G ='; None for anything else."""
+    m = _CODE_PATTERN.match(raw.strip())
+    if not m:
+        return None
+    return ("def", m[2], None) if m[1] else ("class", m[4], m[5]) if m[3] else ("assign", m[6], None)
+
+
+def code_entities(files: DataFrame, patterns: list[dict]) -> DataFrame:
+    """(repo, path, line, symbol, entity_type, subtype) of files (repo, path, source) by patterns (pattern, entity_type, subtype).
+
+    Names and first bases are matched as globs with case; assignments count for names that
+    are targets by themselves. Files that don't parse and patterns that are none are skipped.
     """
+    parsed = [(*k, p["entity_type"], str(p["subtype"]) if p.get("subtype") else None) for p in patterns if (k := code_pattern(str(p["pattern"])))]
 
-    def hits(source: str) -> Iterator[tuple[int, str, str]]:
+    def hits(source: str) -> Iterator[tuple[int, str, str, str | None]]:
         try:
             tree = ast.parse(source)
-        except (SyntaxError, ValueError):
+        except (SyntaxError, ValueError, RecursionError):
             return
         for node in ast.walk(tree):
             names: list[tuple[str, str, str | None]] = []
@@ -219,18 +311,45 @@ def code_entities(files: DataFrame, patterns: list[tuple[str, str, str | None, s
             elif isinstance(node, ast.ClassDef):
                 names = [("class", node.name, ast.unparse(node.bases[0]) if node.bases else None)]
             elif isinstance(node, ast.Assign):
-                names = [("assign", t.id, None) for target in node.targets for t in ast.walk(target) if isinstance(t, ast.Name)]
+                names = [("assign", t.id, None) for t in node.targets if isinstance(t, ast.Name)]
             for kind, name, base in names:
-                for k, glob, want, etype in patterns:
-                    if k == kind and fnmatch.fnmatchcase(name, glob) and (want is None or want == base):
-                        yield node.lineno, name, etype
+                for k, glob, want, etype, subtype in parsed:
+                    if k == kind and fnmatch.fnmatchcase(name, glob) and (want is None or (base is not None and fnmatch.fnmatchcase(base, want))):
+                        yield node.lineno, name, etype, subtype
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(r, p, *h) for r, p, src in zip(b["repo"], b["path"], b["source"]) for h in hits(src)]
-            yield pd.DataFrame(rows, columns=["repo", "path", "line", "symbol", "entity_type"])
+            yield pd.DataFrame(rows, columns=["repo", "path", "line", "symbol", "entity_type", "subtype"])
+
+    return files.select("repo", "path", "source").filter("source IS NOT NULL").mapInPandas(run, "repo string, path string, line int, symbol string, entity_type string, subtype string")
+
 
-    return files.select("repo", "path", "source").filter("source IS NOT NULL").mapInPandas(run, "repo string, path string, line int, symbol string, entity_type string")
+def code_records(files: DataFrame, patterns: list[dict]) -> DataFrame:
+    """Entities of code as records with ord (by file, line and symbol), a code anchor each, and the subtype as metadata."""
+    found = code_entities(files, patterns)
+    order = Window.orderBy("repo", "path", "line", "symbol", "entity_type")  # symbols of one repository
+    anchor = F.struct("repo", "path", "line", "symbol")
+    return found.select(
+        F.row_number().over(order).cast("bigint").alias("ord"), F.col("symbol").alias("name"), "entity_type", F.array(anchor).alias("code_anchors"), F.lit(False).alias("abstract"),
+        F.when(F.col("subtype").isNotNull(), F.create_map(F.lit("subtype"), "subtype")).alias("metadata"),
+    )
+
+
+def document_entities(mentions: DataFrame, schema) -> DataFrame:
+    """(doc_id, name, entity_type, provenance, ord): one entity for each name of a document, of the type of its first mention.
+
+    mentions are those of entity_mentions; schema maps raw types. Provenance is in the order
+    of the mentions.
+    """
+    spark = mentions.sparkSession
+    raws = [r.raw_type for r in mentions.select("raw_type").distinct().limit(1000).collect()]  # the patterns know a dozen types
+    types = spark.createDataFrame([(r, schema.entity_type_for(r)) for r in raws], "raw_type string, entity_type string")
+    at = F.struct("sec_no", "pattern", "char_offset")
+    rows = mentions.join(F.broadcast(types), "raw_type")
+    seen = F.struct(at.alias("at"), F.struct(F.col("doc_id").alias("document"), "sec_no", "passage", "char_offset").alias("p"))
+    out = rows.groupBy("doc_id", "name").agg(F.min_by("entity_type", at).alias("entity_type"), F.transform(F.array_sort(F.collect_list(seen)), lambda x: x.p).alias("provenance"), F.min(at).alias("first"))
+    return out.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")).cast("bigint")).drop("first")
 
 
 def first_seen_relations(entities: DataFrame, relations: DataFrame) -> DataFrame:

@@ -8,24 +8,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veinwork.session import cut
 
 
-def union_arrays(c: str) -> Column:
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(F.col(c), F.array().cast("array<string>"))))))
-
-
 def merged_entities(entities: DataFrame, key: str = "name") -> DataFrame:
-    """One entity for each key: the first record's type and confidence, all aliases and observations, sorted."""
-    first = F.min_by(F.struct("name", "entity_type", "confidence"), "ord")
-    return (
-        entities.groupBy(F.col(key).alias("k"))
-        .agg(first.alias("f"), union_arrays("aliases").alias("aliases"), union_arrays("observations").alias("observations"), F.count("*").alias("n_records"))
-        .select("f.name", "f.entity_type", "f.confidence", "aliases", "observations", "n_records")
-    )
+    """One entity for each key: the first record's type and confidence, all aliases, observations, provenance and anchors, sorted.
+
+    Items are put in rows of their own first, so that a name with a large part of all
+    records is reduced to its distinct items before it is shuffled.
+    """
+    kinds = ["aliases", "observations", "provenance", "code_anchors", "citation_anchors"]
+    lists = [c for c in kinds if c in entities.columns]
+    confidence = F.col("confidence") if "confidence" in entities.columns else F.lit(1.0).alias("confidence")
+    first = F.min_by(F.struct("name", "entity_type", confidence), "ord")
+    heads = entities.groupBy(F.col(key).alias("k")).agg(first.alias("f"), F.count("*").alias("n_records"))
+    out = heads.select("k", "f.name", "f.entity_type", "f.confidence", "n_records")
+    for c in lists:
+        items = entities.select(F.col(key).alias("k"), F.explode(c).alias("v")).filter("v IS NOT NULL")
+        out = out.join(items.groupBy("k").agg(F.array_sort(F.collect_set("v")).alias(c)).withColumnRenamed("k", f"k_{c}"), F.col("k").eqNullSafe(F.col(f"k_{c}")), "left").drop(f"k_{c}")
+        out = out.withColumn(c, F.coalesce(c, F.array().cast(entities.schema[c].dataType)))
+    return out.select("name", "entity_type", "confidence", *lists, "n_records")
 
 
 def deduplicated_entities(entities: DataFrame) -> DataFrame:
@@ -91,8 +96,8 @@ def degree_centrality(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
     counted = ends.groupBy("name").agg(F.count("*").alias("degree"))
     if nodes is not None:
         counted = nodes.select("name").distinct().join(counted, "name", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    n = counted.count()
-    return counted.withColumn("centrality", F.col("degree") / (n - 1) if n > 1 else F.lit(1.0))
+    one_row = counted.agg(F.count("*").alias("n_nodes"))
+    return counted.join(F.broadcast(one_row)).withColumn("centrality", F.when(F.col("n_nodes") > 1, F.col("degree") / (F.col("n_nodes") - 1)).otherwise(1.0)).drop("n_nodes")
 
 
 def induced_subgraph(edges: DataFrame, names: DataFrame) -> DataFrame:
@@ -116,25 +121,24 @@ def k_hop(edges: DataFrame, root: str, depth: int = 2, direction: str = "both")
     return seen
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(name, component): weakly connected components, labelled by their least name.
 
     Labels move along edges and jump to the label's label, so that long chains take few
-    rounds.
+    rounds; it goes on until no label changes.
     """
     both = cut(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).filter("a <> b").distinct())
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
     names = node_set(edges, nodes)
     labels = cut(names.select("name", F.col("name").alias("component")))
-    for _ in range(most_rounds):
+    while True:
         least = both.join(labels, both.b == labels.name).groupBy("a").agg(F.min("component").alias("m"))
         new = labels.join(least, labels.name == least.a, "left").select("name", F.col("component").alias("was"), F.least("component", F.coalesce("m", "component")).alias("component"))
         jump = new.select(F.col("name").alias("component"), F.col("component").alias("c2"))
         new = cut(new.join(jump, "component", "left").select("name", "was", F.least("component", F.coalesce("c2", "component")).alias("component")))
         labels = new.select("name", "component")
         if new.filter("component <> was").limit(1).count() == 0:
-            break
-    return labels
+            return labels
 
 
 def _walks(edges: DataFrame, depth: int) -> list[DataFrame]:
@@ -151,23 +155,28 @@ def _walks(edges: DataFrame, depth: int) -> list[DataFrame]:
     return out
 
 
-def simple_cycles(edges: DataFrame, most_edges: int = 10) -> DataFrame:
-    """(length, path): simple directed cycles, each from its least node and back to it."""
+def simple_cycles(edges: DataFrame, most_edges: int | None = None) -> DataFrame:
+    """(length, path): simple directed cycles, each from its least node and back to it; of any length unless most_edges is given.
+
+    Only edges within strong components can lie on a cycle, so paths grow along these alone.
+    """
     e = edges.select(F.col("source").alias("s"), F.col("target").alias("t")).distinct()
     loops = e.filter("s = t").select(F.lit(1).alias("length"), F.array("s", "t").alias("path"))
-    found = [loops]
+    parts = strong_components(edges)
+    inside = e.filter("s <> t").join(parts.select(F.col("name").alias("s"), F.col("scc").alias("a")), "s").join(parts.select(F.col("name").alias("t"), F.col("scc").alias("b")), "t")
+    e = cut(inside.filter("a = b").select("s", "t"))
+    found = loops
     level = e.filter("s < t").select(F.col("s").alias("start"), F.col("t").alias("cur"), F.array("s", "t").alias("path"))
-    for n in range(2, most_edges + 1):
+    n = 2
+    while most_edges is None or n <= most_edges:
         level = cut(level)
         if level.limit(1).count() == 0:
             break
         step = level.join(e, level.cur == e.s).filter("t >= start")
-        found.append(step.filter("t = start").select(F.lit(n).alias("length"), F.array_append("path", F.col("t")).alias("path")))
+        found = found.unionByName(step.filter("t = start").select(F.lit(n).alias("length"), F.array_append("path", F.col("t")).alias("path")))
         level = step.filter(~F.array_contains("path", F.col("t"))).select("start", F.col("t").alias("cur"), F.array_append("path", F.col("t")).alias("path"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        n += 1
+    return found
 
 
 def chains(edges: DataFrame, min_nodes: int = 3, most_edges: int = 10, top: int = 20) -> DataFrame:
@@ -179,23 +188,21 @@ def chains(edges: DataFrame, min_nodes: int = 3, most_edges: int = 10, top: int
     return all_.distinct().withColumn("n_nodes", F.size("path")).orderBy(F.desc("n_nodes"), "path").limit(top)
 
 
-def cascade_depth(edges: DataFrame, most_rounds: int = 1000) -> int:
+def cascade_depth(edges: DataFrame) -> int:
     """Longest path of an acyclic graph in edges; of a cyclic one the longest simple cycle; 0 without edges."""
     e = cut(edges.select(F.col("source").alias("s"), F.col("target").alias("t")).distinct())
     if e.limit(1).count() == 0:
         return 0
     # peel nodes without predecessor; each layer is one edge deeper
-    left, depth = e, -1
-    for _ in range(most_rounds):
+    left, size, depth = e, e.count(), 0
+    while size:
         heads = left.select(F.col("s").alias("n")).distinct().join(left.select(F.col("t").alias("n")).distinct(), "n", "left_anti")
         kept = cut(left.join(heads, left.s == heads.n, "left_anti"))
-        depth += 1
-        if kept.limit(1).count() == 0:
-            return depth + 1
-        if kept.count() == left.count():
-            return simple_cycles(kept.select(F.col("s").alias("source"), F.col("t").alias("target")), 12).agg(F.max("length")).collect()[0][0]
-        left = kept
-    raise RuntimeError("no fixed point")
+        n = kept.count()
+        if n == size:
+            return simple_cycles(kept.select(F.col("s").alias("source"), F.col("t").alias("target"))).agg(F.max("length")).collect()[0][0]
+        left, size, depth = kept, n, depth + 1
+    return depth
 
 
 def strong_components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
@@ -234,26 +241,66 @@ def strong_components(edges: DataFrame, most_rounds: int | None = None) -> DataF
 
 
 def _trimmed(e: DataFrame) -> DataFrame:
+    size = e.count()
     while True:
         ins, outs = e.select(F.col("t").alias("n")).distinct(), e.select(F.col("s").alias("n")).distinct()
         on = ins.join(outs, "n", "left_semi")
-        kept = cut(e.join(on.withColumnRenamed("n", "s"), "s", "left_semi").join(on.withColumnRenamed("n", "t"), "t", "left_semi").select("s", "t"))
-        if kept.count() == e.count():
-            return kept
-        e = kept
+        e = cut(e.join(on.withColumnRenamed("n", "s"), "s", "left_semi").join(on.withColumnRenamed("n", "t"), "t", "left_semi").select("s", "t"))
+        n = e.count()
+        if n == size:
+            return e
+        size = n
 
 
 def _spread_min(e: DataFrame, a: str, b: str) -> DataFrame:
-    """(n, m): the least name from which n is reached along edges a -> b, n itself included."""
+    """(n, m): the least name from which n is reached along edges a -> b, n itself included.
+
+    What reaches the least name that reaches n reaches n too, so labels also jump to the
+    label of their label, and long paths take few rounds.
+    """
     labels = cut(e.select(F.explode(F.array("s", "t")).alias("n")).distinct().select("n", F.col("n").alias("m")))
     while True:
         moved = e.join(labels, e[a] == labels.n).groupBy(F.col(b).alias("x")).agg(F.min("m").alias("v"))
-        new = cut(labels.join(moved, labels.n == moved.x, "left").select("n", F.least("m", F.coalesce("v", "m")).alias("m"), (F.coalesce(F.col("v") < F.col("m"), F.lit(False))).alias("moved")))
-        labels = new.drop("moved")
-        if new.filter("moved").limit(1).count() == 0:
+        new = labels.join(moved, labels.n == moved.x, "left").select("n", F.col("m").alias("was"), F.least("m", F.coalesce("v", "m")).alias("m"))
+        jump = labels.select(F.col("n").alias("m"), F.col("m").alias("m2"))
+        new = cut(new.join(jump, "m", "left").select("n", "was", F.least("m", F.coalesce("m2", "m")).alias("m")))
+        labels = new.select("n", "m")
+        if new.filter("m <> was").limit(1).count() == 0:
             return labels
 
 
+def summary(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """(metric, value): nodes, edges, entities by type, edges by relation type, components and cycles of the collapsed graph."""
+    e = cut(collapsed_edges(edges))
+    one = lambda df, name: df.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value")
+    parts = [one(node_set(e, entities), "n_entities"), one(e, "n_relations")]
+    parts.append(entities.groupBy("entity_type").agg(F.count_distinct("name").alias("value")).select(F.concat(F.lit("entity_type:"), F.coalesce("entity_type", F.lit("null"))).alias("metric"), "value"))
+    parts.append(e.groupBy("relation_type").agg(F.count("*").alias("value")).select(F.concat(F.lit("relation_type:"), F.coalesce("relation_type", F.lit("null"))).alias("metric"), "value"))
+    parts.append(one(components(e, entities).select("component").distinct(), "n_components"))
+    parts.append(one(simple_cycles(e), "n_cycles"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def document_set(documents: Sequence[DataFrame]) -> DataFrame:
+    """(document): documents of several graphs, each once."""
+    out = documents[0].select("document")
+    for d in documents[1:]:
+        out = out.unionByName(d.select("document"))
+    return out.filter("document IS NOT NULL").distinct()
+
+
+def entities_by_type(entities: DataFrame, entity_type: str) -> DataFrame:
+    return entities.filter(F.col("entity_type") == entity_type)
+
+
+def entity_named(entities: DataFrame, name: str) -> DataFrame:
+    """The last record of a name; no row for an unknown one."""
+    return replaced_entities(entities.filter(F.col("name") == name))
+
+
 def graph_diff(old_entities: DataFrame, new_entities: DataFrame, old_rel: DataFrame, new_rel: DataFrame) -> DataFrame:
     """(change, what): entities and relations added, removed or of another type."""
     e = old_entities.select("name", F.col("entity_type").alias("old_type"), F.lit(True).alias("o")).join(

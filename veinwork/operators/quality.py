@@ -22,13 +22,13 @@ def _ratio(num: Column, den: Column) -> Column:
 
 
 def groundedness(entities: DataFrame, require_for: list[str] | None = None, allow_abstract: list[str] | None = None) -> DataFrame:
-    """(entity_type, grounded, total, ratio), with a row of null type for all; abstract entities of allowed types are left out."""
+    """(entity_type, grounded, total, ratio, all_types), with a row for all types; abstract entities of allowed types are left out."""
     scope = entities.filter(F.col("entity_type").isin(require_for)) if require_for else entities
     if allow_abstract:
         scope = scope.filter(~(F.coalesce("abstract", F.lit(False)) & F.col("entity_type").isin(allow_abstract)))
     g = scope.select("entity_type", is_grounded().alias("g"))
     return g.groupingSets([[], [F.col("entity_type")]], F.col("entity_type")).agg(
-        F.count_if("g").alias("grounded"), F.count("*").alias("total")
+        F.count_if("g").alias("grounded"), F.count("*").alias("total"), (F.grouping("entity_type") == 1).alias("all_types")
     ).withColumn("ratio", _ratio(F.col("grounded"), F.col("total")))
 
 
@@ -60,37 +60,44 @@ def cycle_count(relations: DataFrame, lag: str) -> int:
     return strong_components(relations.filter(F.col("lag") == lag)).select("scc").distinct().count()
 
 
-def coverage(code_names: DataFrame, graph_names: DataFrame) -> DataFrame:
-    """(covered, total, ratio): code entities whose normalised name is in the graph; ratio null without any."""
-    from veinwork.functions.names import matcher_name
+def quality_report(entities: DataFrame, relations: DataFrame, options: dict, code: DataFrame | None = None, threshold: float = 0.85) -> DataFrame:
+    """(metric, value, n, target, passed): one row for each metric; passed is null where nothing is asked or nothing counted.
 
-    code = code_names.select(matcher_name(F.col("name")).alias("k"))
-    known = graph_names.select(matcher_name(F.col("name")).alias("k")).distinct().withColumn("hit", F.lit(True))
-    return code.join(known, "k", "left").agg(F.count("hit").alias("covered"), F.count("*").alias("total")).withColumn(
-        "ratio", F.when(F.col("total") > 0, F.col("covered") / F.col("total")))
+    n is what the value is a share of. Coverage is there with code entities only; orphan
+    rate and consistency never fail.
+    """
+    from veinwork.operators.agree import covered
 
-
-def quality_report(entities: DataFrame, relations: DataFrame, options: dict) -> DataFrame:
-    """(metric, value, target, passed): one row for each metric; passed is null where no gate is set."""
-    g = groundedness(entities, options.get("require_grounding_for"), options.get("allow_abstract")).filter("entity_type IS NULL").select(F.lit("groundedness").alias("metric"), F.col("ratio").alias("value"))
-    s = signedness(relations).select(F.lit("signedness").alias("metric"), F.col("ratio").alias("value"))
-    c = consistency(relations).select(F.lit("consistency").alias("metric"), F.col("ratio").alias("value"))
-    n = entities.filter(~F.coalesce("abstract", F.lit(False))).select("name").distinct().count()
-    o = orphans(entities, relations).agg((F.count("*") / F.lit(max(1, n))).alias("value")).select(F.lit("orphan_rate").alias("metric"), "value")
-    out = g.unionByName(s).unionByName(c).unionByName(o)
+    metric = lambda df, name, n: df.select(F.lit(name).alias("metric"), F.col("ratio").cast("double").alias("value"), F.col(n).cast("bigint").alias("n"))
+    g = groundedness(entities, options.get("require_grounding_for"), options.get("allow_abstract")).filter(F.col("all_types")).drop("all_types")
+    concrete = entities.filter(~F.coalesce("abstract", F.lit(False))).agg(F.count_distinct("name").alias("total"))
+    o = orphans(entities, relations).agg(F.count("name").alias("orphans")).join(F.broadcast(concrete)).withColumn("ratio", F.when(F.col("total") > 0, F.col("orphans") / F.col("total")).otherwise(0.0))
+    out = metric(g, "groundedness", "total").unionByName(metric(signedness(relations), "signedness", "total")).unionByName(metric(consistency(relations), "consistency", "examined")).unionByName(metric(o, "orphan_rate", "total"))
+    if code is not None:
+        out = out.unionByName(metric(covered(code, entities, threshold), "coverage", "total"))
     target = F.lit(None).cast("double")
-    for m in ("groundedness", "signedness"):
+    for m in ("groundedness", "signedness", "coverage"):
         if options.get(f"{m}_target") is not None:
             target = F.when(F.col("metric") == m, float(options[f"{m}_target"])).otherwise(target)
-    out = out.withColumn("target", target).withColumn("passed", F.col("value") >= F.col("target"))
+    asked = F.col("target").isNotNull() & ((F.col("n") > 0) | (F.col("metric") == "coverage"))
+    out = out.withColumn("target", target).withColumn("passed", F.when(asked, F.col("value") >= F.col("target")))
     for lag in ("within_step", "across_step"):
-        if (options.get("cycle_policy") or {}).get(lag) == "forbid":
-            k = cycle_count(relations, lag)
-            row = entities.sparkSession.createDataFrame([(f"cycles_{lag}", float(k), 0.0, k == 0)], "metric string, value double, target double, passed boolean")
-            out = out.unionByName(row)
+        k = cycle_count(relations, lag)
+        forbidden = (options.get("cycle_policy") or {}).get(lag) == "forbid"
+        row = entities.sparkSession.createDataFrame([(f"cycles_{lag}", float(k), None, 0.0 if forbidden else None, k == 0 if forbidden else None)], "metric string, value double, n bigint, target double, passed boolean")
+        out = out.unionByName(row)
     return out
 
 
+def simulated_signs(relations: DataFrame, adapter) -> DataFrame:
+    """(source, target, sim_sign, sim_lag) of an adapter with edge_sign and edge_lag, asked once for each pair of ends."""
+    def run(batches):
+        for b in batches:
+            yield b.assign(sim_sign=[adapter.edge_sign(s, t) for s, t in zip(b["source"], b["target"])], sim_lag=[adapter.edge_lag(s, t) if hasattr(adapter, "edge_lag") else None for s, t in zip(b["source"], b["target"])])
+
+    return relations.select("source", "target").distinct().mapInPandas(run, "source string, target string, sim_sign string, sim_lag string")
+
+
 def falsify(relations: DataFrame, simulated: DataFrame, subset: str = "mechanism") -> DataFrame:
     """(source, target, sign, sim_sign, verdict): confirmed, flipped or unknown against simulated (source, target, sim_sign)."""
     if subset not in ("mechanism", "all"):

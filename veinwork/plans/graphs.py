@@ -81,15 +81,15 @@ def relation_renames(s, d):
 
 
 def neighbors_both(s, d):
-    return G.neighbours(rel(s, d), "Interbank Market", "both")
+    return G.neighbours(rel(s, d), "Food Web", "both")
 
 
 def neighbors_out(s, d):
-    return G.neighbours(rel(s, d), "Interbank Market", "out")
+    return G.neighbours(rel(s, d), "Food Web", "out")
 
 
 def neighbors_in(s, d):
-    return G.neighbours(rel(s, d), "Interbank Market", "in")
+    return G.neighbours(rel(s, d), "Food Web", "in")
 
 
 def induced_subgraph(s, d):
@@ -97,11 +97,11 @@ def induced_subgraph(s, d):
 
 
 def khop_subgraph(s, d):
-    return G.k_hop(rel(s, d).filter("edge_class = 'identity'"), "Interbank Market", 2)
+    return G.k_hop(rel(s, d), "Food Web", 2)
 
 
 def graph_components(s, d):
-    return G.components(rel(s, d).filter("edge_class = 'identity'")).groupBy("component").agg(F.count("*").alias("n"))
+    return G.components(rel(s, d)).groupBy("component").agg(F.count("*").alias("n"))
 
 
 def simple_cycles(s, d):
@@ -121,7 +121,7 @@ def orphans(s, d):
 
 
 def groundedness_by_type(s, d):
-    return Q.groundedness(ent(s, d)).withColumn("ratio", F.round("ratio", 6))
+    return Q.groundedness(ent(s, d)).drop("all_types").withColumn("ratio", F.round("ratio", 6))
 
 
 def signedness(s, d):
@@ -182,7 +182,7 @@ _C = "c AS (SELECT source, target, arg_max(struct_pack(rt := relation_type, w :=
 _DEG = "deg AS (SELECT name, count(*) AS degree FROM (SELECT source AS name FROM c UNION ALL SELECT target FROM c) GROUP BY 1)"
 _ARR = "coalesce(array_to_string(list_sort(list_distinct(flatten(list(coalesce({c}, []))))), '|'), '')"
 _LAST = "SELECT name, arg_max(entity_type, ord) AS entity_type, max(ord) AS ord FROM entities {w} GROUP BY name"
-_NEAR = {"both": "SELECT target AS name FROM r WHERE source = 'Interbank Market' UNION SELECT source FROM r WHERE target = 'Interbank Market'", "out": "SELECT DISTINCT target AS name FROM r WHERE source = 'Interbank Market'", "in": "SELECT DISTINCT source AS name FROM r WHERE target = 'Interbank Market'"}
+_NEAR = {k: v.replace("ROOT", "'Food Web'") for k, v in {"both": "SELECT target AS name FROM r WHERE source = ROOT UNION SELECT source FROM r WHERE target = ROOT", "out": "SELECT DISTINCT target AS name FROM r WHERE source = ROOT", "in": "SELECT DISTINCT source AS name FROM r WHERE target = ROOT"}.items()}
 SQL = {
     "transition_edges": f"WITH {_T} SELECT * FROM edges",
     "degree_centrality": f"WITH {_T}, d AS (SELECT name, count(*) AS degree FROM (SELECT source AS name FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1) SELECT name, degree, round(degree / ((SELECT count(*) FROM d) - 1), 6) AS centrality FROM d",
@@ -198,10 +198,10 @@ SQL = {
     "relation_renames": f"WITH {_R}, m AS (SELECT e.name AS old, g.new FROM (SELECT DISTINCT name FROM entities) e JOIN (SELECT lower(name) AS l, arg_min(name, ord) AS new FROM entities GROUP BY 1) g ON lower(e.name) = g.l), x AS (SELECT ord, relation_type, coalesce(a.new, source) AS source, coalesce(b.new, target) AS target FROM r LEFT JOIN m a ON a.old = source LEFT JOIN m b ON b.old = target) SELECT source, target, relation_type, min(ord) AS ord FROM x WHERE source <> target GROUP BY 1, 2, 3",
     **{f"neighbors_{k}": f"WITH {_R} {v}" for k, v in _NEAR.items()},
     "induced_subgraph": f"WITH {_R} SELECT ord, source, target FROM r WHERE source IN (SELECT name FROM entities WHERE entity_type = 'mechanism') AND target IN (SELECT name FROM entities WHERE entity_type = 'mechanism')",
-    "khop_subgraph": f"WITH RECURSIVE {_R}, e AS (SELECT source AS a, target AS b FROM r WHERE edge_class = 'identity' UNION SELECT target, source FROM r WHERE edge_class = 'identity'), w AS (SELECT 'Interbank Market' AS name, 0 AS hops UNION SELECT b, hops + 1 FROM w JOIN e ON a = name WHERE hops < 2) SELECT name, CAST(min(hops) AS INTEGER) AS hops FROM w GROUP BY name",
+    "khop_subgraph": f"WITH RECURSIVE {_R}, e AS (SELECT source AS a, target AS b FROM r UNION SELECT target, source FROM r), w AS (SELECT 'Food Web' AS name, 0 AS hops UNION SELECT b, hops + 1 FROM w JOIN e ON a = name WHERE hops < 2) SELECT name, CAST(min(hops) AS INTEGER) AS hops FROM w GROUP BY name",
     "simple_cycles": f"WITH RECURSIVE {_T}, w AS (SELECT source AS start, target AS cur, CASE WHEN source = target THEN [source, target] ELSE [source, target] END AS path FROM edges WHERE source <= target UNION ALL SELECT start, e.target, list_append(path, e.target) FROM w JOIN edges e ON e.source = cur WHERE cur <> start AND e.target >= start AND (e.target = start OR NOT list_contains(path, e.target))) SELECT CAST(len(path) - 1 AS INTEGER) AS length, array_to_string(path, '|') AS path FROM w WHERE cur = start",
     "chains_topk": f"WITH RECURSIVE {_T}, w AS (SELECT target AS cur, [source, target] AS path FROM edges WHERE source <> target UNION ALL SELECT e.target, list_append(path, e.target) FROM w JOIN edges e ON e.source = cur WHERE NOT list_contains(path, e.target)) SELECT CAST(len(path) AS INTEGER) AS n_nodes, array_to_string(path, '|') AS path FROM w WHERE len(path) >= 3 ORDER BY len(path) DESC, path LIMIT 20",
-    "graph_components": f"WITH RECURSIVE {_R}, e AS (SELECT source AS a, target AS b FROM r WHERE edge_class = 'identity' UNION SELECT target, source FROM r WHERE edge_class = 'identity'), w AS (SELECT DISTINCT a AS name, a AS o FROM e UNION SELECT w.name, e.b FROM w JOIN e ON e.a = w.o), m AS (SELECT name, min(o) AS component FROM w GROUP BY name) SELECT component, count(*) AS n FROM m GROUP BY 1",
+    "graph_components": f"WITH RECURSIVE {_R}, e AS (SELECT source AS a, target AS b FROM r UNION SELECT target, source FROM r), cc(name, component) USING KEY (name) AS (SELECT DISTINCT a, a FROM e UNION (SELECT u.name, min(v.component) FROM recurring.cc u JOIN e ON e.a = u.name JOIN cc v ON v.name = e.b WHERE v.component < u.component GROUP BY u.name)) SELECT component, count(*) AS n FROM cc GROUP BY 1",
     "scc_count": f"WITH RECURSIVE {_R}, e AS (SELECT DISTINCT source AS a, target AS b FROM r WHERE lag = 'within_step'), w AS (SELECT a AS x, b AS y FROM e UNION SELECT w.x, e.b FROM w JOIN e ON e.a = w.y), m AS (SELECT x AS name, min(y) AS scc FROM w WHERE EXISTS (SELECT 1 FROM w v WHERE v.x = w.y AND v.y = w.x) GROUP BY x) SELECT scc, count(*) AS n FROM m GROUP BY 1",
     "orphans": f"WITH {_R} SELECT DISTINCT name FROM entities WHERE NOT coalesce(abstract, false) AND name NOT IN (SELECT source FROM r UNION SELECT target FROM r)",
     "groundedness_by_type": "WITH g AS (SELECT entity_type, coalesce(list_bool_or(list_transform(code_anchors, lambda a: coalesce(a.path, '') <> '' AND coalesce(a.repo, '') <> '')), false) OR coalesce(list_bool_or(list_transform(citation_anchors, lambda c: coalesce(c.key, '') <> '')), false) AS g FROM entities) SELECT entity_type, count(*) FILTER (g) AS grounded, count(*) AS total, round(count(*) FILTER (g) / count(*), 6) AS ratio FROM g GROUP BY GROUPING SETS ((), (entity_type))",
