@@ -103,6 +103,22 @@ PAIRS = [
 ]
 
 
+def test_files_are_cut_in_utf8(spark, tmp_path):
+    fr = "à la fin de l'année, l'été précède déjà l'automne où tout s'arrête. " * 60
+    zh = "市场的价格由供给和需求决定。利率上升时投资减少！谁来支付？" * 60
+    for name, text in (("fr", fr), ("zh", zh)):
+        raw = text.encode()
+        assert len(splitting.by_bytes(raw)) == len(raw) and len(splitting.by_bytes(raw[1:-1])) == len(raw) - 2
+        (tmp_path / name).write_bytes(raw)
+        paths = spark.createDataFrame([(str(tmp_path / name), len(raw))], "path string, n_bytes long")
+        for size in (len(raw) + 1, 1000):
+            got = splitting.split_files(spark, paths, limit=400, overlap=60, size=size).orderBy("piece_no").collect()
+            assert "".join(raw[p.body_start : p.end].decode() for p in got) == text and {p.kind for p in got} <= {"natural", "end"}
+            assert all(p.piece == raw[p.start : p.end].decode() and p.end - p.start <= 400 for p in got)
+            cuts = [raw[: p.end].decode()[-1] for p in got[:-1]]
+            assert set(cuts) <= (set(" ") if name == "fr" else set("。！？"))
+
+
 def test_copies_by_compression():
     prompt = "Describe in two sentences how the water level of the upper reservoir depends on the rainfall of the past month and on the gates of the dam."
     assert pairs.copies_prompt(prompt, prompt.replace("rainfall", "snowfall")) and pairs.copies_prompt(prompt, f"Question: {prompt}")

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veinwork.llm.tokenizer import DEFAULT_DIR, token_counts
+from veinwork.session import bounded
 
 #: Buckets of the histograms that place a source's sampling threshold.
 BUCKETS = 4096
@@ -84,30 +85,36 @@ def sized_documents(docs: DataFrame, topics: DataFrame | None, folder: str = DEF
     counts = token_counts(docs.filter("text IS NOT NULL AND trim(text) <> ''"), "doc_id", "text", tokenizer, folder)
     rows = docs.select("doc_id", source_key(F.col("source")).alias("source"), language_key(F.col("lang")).alias("lang")).join(counts, "doc_id")
     if topics is not None:
-        one = topics.groupBy("doc_id").agg(F.min("subject").alias("topic"))
+        # all subjects of a document together, so that keeping the shares of these keeps the share of each subject
+        one = topics.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("subject")), "+").alias("topic"))
         rows = rows.join(one, "doc_id", "left")
     else:
         rows = rows.withColumn("topic", F.lit(None).cast("string"))
     return rows.withColumn("topic", F.coalesce("topic", F.lit("none"))).filter("n_tokens > 0")
 
 
-def mixture(docs: DataFrame, targets: DataFrame, topics: DataFrame | None = None, total_tokens: float | None = None, folder: str = DEFAULT_DIR, most_languages: int = 100, most_topics: int = 1000) -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, targets: DataFrame, topics: DataFrame | None = None, total_tokens: float | None = None, folder: str = DEFAULT_DIR, most_languages: int = 100, most_topics: int = 1000, most_sources: int = 20_000, most_cells: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """((doc_id, source, n_tokens, copies), report): drawn documents and the shares reached.
 
     The driver sees one row for each target and for each cell of source, language and
-    topic; languages and topics beyond the stated numbers of most frequent ones share the
-    cell 'other', which bounds the cells whatever the corpus holds.
+    topic, the topic being all subjects of a document together; languages and topics beyond
+    the stated numbers of most frequent ones share the cell 'other'. More than most_sources
+    targets or most_cells cells are a ValueError, so that nothing is left out unsaid.
     """
     spark = docs.sparkSession
     goal = targets.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats").filter("source IS NOT NULL AND target_share > 0")
-    goals = {r.source: (float(r.target_share), float(r.max_repeats if r.max_repeats is not None else 1)) for r in goal.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).limit(100_000).collect()}
-    sized = sized_documents(docs, topics, folder).join(F.broadcast(goal.select("source").distinct()) if len(goals) <= 20_000 else goal.select("source").distinct(), "source", "left_semi")
-    for col, most in (("lang", most_languages), ("topic", most_topics)):
-        top = [r[0] for r in sized.groupBy(col).agg(F.sum("n_tokens").alias("n")).orderBy(F.desc("n"), col).limit(most).collect()] if col == "lang" else None
-        if top is not None:
-            sized = sized.withColumn(col, F.when(F.col(col).isin(top), F.col(col)).otherwise("other"))
+    fits, found = bounded(goal.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")), most_sources)
+    if not fits:
+        raise ValueError(f"more than {most_sources} sources with a target")
+    goals = {r.source: (float(r.target_share), float(r.max_repeats if r.max_repeats is not None else 1)) for r in found}
+    sized = sized_documents(docs, topics, folder).join(F.broadcast(goal.select("source").distinct()), "source", "left_semi")
     sized = sized.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = sized.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("t")).orderBy(F.desc("t")).limit(1_000_000).collect()
+    for col, most in (("lang", most_languages), ("topic", most_topics)):
+        top = [r[0] for r in sized.groupBy(col).agg(F.sum("n_tokens").alias("n")).orderBy(F.desc("n"), col).limit(most).collect()]
+        sized = sized.withColumn(col, F.when(F.col(col).isin(top), F.col(col)).otherwise("other"))
+    fits, rows = bounded(sized.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("t")), most_cells)
+    if not fits:
+        raise ValueError(f"more than {most_cells} cells of source, language and topic")
     cells = {(r.source, r.lang, r.topic): float(r.t) for r in rows}
     tokens: dict[str, float] = defaultdict(float)
     for (s, _, _), t in cells.items():

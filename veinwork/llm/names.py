@@ -100,28 +100,45 @@ def parse(raw: str | None) -> tuple[str, list[str], list[str], bool] | None:
 def neighbours(query: str, trie: dict, bound: int) -> list[tuple[str, int]]:
     """All words of the trie within bound edits of query, by its Levenshtein automaton.
 
-    A state of the automaton is a row of the edit table; a branch of the trie is left as
-    soon as no entry of its row is within the bound. Swaps of neighbours are one edit.
+    A state of the automaton is the part of a row of the edit table that lies within bound
+    of the diagonal; a branch of the trie is left as soon as no entry is within the bound.
+    Swaps of neighbours are one edit.
     """
-    out = []
-    first = tuple(range(len(query) + 1))
-
-    def walk(node: dict, row: tuple, before: tuple | None, last: str) -> None:
-        if "" in node and row[-1] <= bound:
-            out.append((node[""], row[-1]))
+    out: list[tuple[str, int]] = []
+    n, width, far = len(query), 2 * bound + 1, bound + 1
+    # entry t of a state at depth d stands for the first d - bound + t signs of the query
+    first = [t - bound if t >= bound else far for t in range(width)]
+    stack: list[tuple[dict, int, list[int], list[int] | None, str]] = [(trie, 0, first, None, "")]
+    while stack:
+        node, depth, row, before, last = stack.pop()
+        if "" in node:
+            t = n - depth + bound
+            if 0 <= t < width and row[t] <= bound:
+                out.append((node[""], row[t]))
+        low = depth + 1 - bound
         for ch, child in node.items():
             if ch == "":
                 continue
-            new = [row[0] + 1]
-            for i, q in enumerate(query):
-                c = min(new[i] + 1, row[i + 1] + 1, row[i] + (q != ch))
-                if before is not None and i and q == last and query[i - 1] == ch:
-                    c = min(c, before[i - 1] + 1)
-                new.append(c)
-            if min(new) <= bound:
-                walk(child, tuple(new), row, ch)
-
-    walk(trie, first, None, "")
+            new, best, left = [], far, far
+            for t in range(width):
+                j = low + t
+                if j < 0 or j > n:
+                    left = far
+                else:
+                    left += 1
+                    if j and (c := row[t] + (query[j - 1] != ch)) < left:
+                        left = c
+                    if t + 1 < width and (c := row[t + 1] + 1) < left:
+                        left = c
+                    if before is not None and j > 1 and query[j - 1] == last and query[j - 2] == ch and (c := before[t] + 1) < left:
+                        left = c
+                    if left > far:
+                        left = far
+                new.append(left)
+                if left < best:
+                    best = left
+            if best <= bound:
+                stack.append((child, depth + 1, new, row, ch))
     return out
 
 
@@ -334,7 +351,7 @@ def name_clusters(records: DataFrame, least_ratio: float = 8.0) -> DataFrame:
     return _joined(held)
 
 
-def _joined(held: DataFrame, most_rounds: int = 40) -> DataFrame:
+def _joined(held: DataFrame) -> DataFrame:
     """Records with clusters in common, directly or over others, get the least cluster of all.
 
     Only clusters that stand together in some record are looked at again; labels move
@@ -344,7 +361,7 @@ def _joined(held: DataFrame, most_rounds: int = 40) -> DataFrame:
     edges = cut(held.join(pairs, "ord").filter("cluster <> a").select("a", F.col("cluster").alias("b")).distinct())
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cluster"), F.least("a", "m").alias("label")))
-    for _ in range(most_rounds):
+    while True:
         moved = both.join(labels, both.b == labels.cluster).groupBy("a").agg(F.min("label").alias("m"))
         new = labels.join(moved, labels.cluster == moved.a, "left").select("cluster", F.least("label", F.coalesce("m", "label")).alias("label"), (F.coalesce(F.col("m") < F.col("label"), F.lit(False))).alias("changed"))
         # pointer jump: the label of the label

@@ -18,9 +18,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP, RANGE = 2500, 500, 262_144
@@ -89,31 +90,41 @@ def cut_range(text: str, lo: int, hi: int, is_first: bool, is_last: bool, limit:
     return out
 
 
-def _ranges(rows: DataFrame, keys: list[str], text: str, size: int, limit: int, overlap: int) -> DataFrame:
-    """One row for each range of each text, with its halo."""
-    n = F.length(text)
-    no = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), ((n - 1) / size).cast("int"))))
-    lo = F.col("range_no") * size
-    back = F.least(lo, F.lit(overlap))
-    return (
-        rows.select(*keys, text, n.alias("n"), no.alias("range_no"))
-        .withColumn("from", lo - back)
-        .select(
-            *keys, "n", "range_no", F.col("from").cast("bigint").alias("from"), back.cast("int").alias("back"),
-            F.substring(F.col(text), (F.col("from") + 1).cast("int"), F.lit(size + limit) + back.cast("int")).alias("chunk"),
-        )
-    )
+class Stretch(NamedTuple):
+    """One range of a text with its halo: back characters of it stand before the range."""
+
+    range_no: int
+    n: int
+    base: int
+    back: int
+    chunk: str
+
+
+def stretches(text: str, size: int, limit: int, overlap: int) -> Iterator[Stretch]:
+    """The ranges of a text; each is a slice of it, so all together take time linear in the text."""
+    n = len(text)
+    for no in range(max(1, -(-n // size))):
+        lo = no * size
+        back = min(lo, overlap)
+        yield Stretch(no, n, lo - back, back, text[lo - back : lo + size + limit])
 
 
-def _mapped(df: DataFrame, keys: list[str], schema: str, one) -> DataFrame:
-    """Rows that one(row) yields, with the keys kept."""
+def _mapped(df: DataFrame, keys: list[str], schema: str, one, most: int = 10_000) -> DataFrame:
+    """Rows that one(row) yields, with the keys kept; handed on after every most rows."""
     types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(*k, *r) for k, row in zip(b[keys].itertuples(index=False, name=None), b.itertuples(index=False)) for r in one(row)]
-            yield pd.DataFrame(out, columns=[*keys, *names])
+            out = []
+            for k, row in zip(b[keys].itertuples(index=False, name=None), b.itertuples(index=False)):
+                for r in one(row):
+                    out.append((*k, *r))
+                    if len(out) >= most:
+                        yield pd.DataFrame(out, columns=[*keys, *names])
+                        out = []
+            if out:
+                yield pd.DataFrame(out, columns=[*keys, *names])
 
     return df.mapInPandas(run, f"{types}, {schema}")
 
@@ -126,11 +137,11 @@ def boundary_runs(rows: DataFrame, keys: list[str], text: str, size: int = RANGE
     """
 
     def one(row):
-        chunk = row.chunk[row.back : row.back + size]
-        parts = [len(p) for p in _BREAK.split(chunk)]
-        yield row.range_no, row.n <= size, parts[0], max(parts), parts[-1], len(parts) == 1
+        for r in stretches(row[-1], size, 0, 0):
+            parts = [len(p) for p in _BREAK.split(r.chunk)]
+            yield r.range_no, r.n <= size, parts[0], max(parts), parts[-1], len(parts) == 1
 
-    table = _mapped(_ranges(rows, keys, text, size, 0, 0), keys, "range_no int, alone boolean, head int, longest int, tail int, whole boolean", one)
+    table = _mapped(rows.select(*keys, text), keys, "range_no int, alone boolean, head int, longest int, tail int, whole boolean", one)
     alone = table.filter("alone").select(*keys, "longest")
     fold = F.aggregate(
         F.array_sort(F.collect_set(F.struct("range_no", "head", "longest", "tail", "whole"))),
@@ -157,20 +168,19 @@ def split_texts(rows: DataFrame, keys: list[str], text: str, limit: int = LIMIT,
         raise ValueError("overlap must be at least 0 and below limit")
     todo = rows.filter(F.col(text).isNotNull() if keep_short else F.length(text) > limit)
 
-    ranges = _ranges(todo, keys, text, size, limit, overlap).withColumnRenamed("from", "base")
-
-    def one_range(row):
-        is_last = (row.range_no + 1) * size >= row.n
-        for i, (s, b, e, kind) in enumerate(cut_range(row.chunk, row.back, row.back + size, row.range_no == 0, is_last, limit, overlap)):
-            yield row.range_no, row.n <= size, i, row.base + s, row.base + b, row.base + e, kind, row.chunk[s:e]
+    def one_text(row):
+        for r in stretches(row[-1], size, limit, overlap):
+            is_last = (r.range_no + 1) * size >= r.n
+            for i, (s, b, e, kind) in enumerate(cut_range(r.chunk, r.back, r.back + size, r.range_no == 0, is_last, limit, overlap)):
+                yield r.range_no, r.n <= size, i, r.base + s, r.base + b, r.base + e, kind, r.chunk[s:e]
 
     schema = "range_no int, alone boolean, i int, start bigint, body_start bigint, end bigint, kind string, piece string"
-    pieces = _mapped(ranges, keys, schema, one_range)
+    pieces = _mapped(todo.select(*keys, text), keys, schema, one_text)
     done = pieces.filter("alone").select(*keys, (F.col("i") + 1).alias("piece_no"), "start", "body_start", "end", "kind", "piece")
-    return done.unionByName(_stitched(pieces.filter("NOT alone"), keys, True))
+    return done.unionByName(_stitched(pieces.filter("NOT alone"), keys, False))
 
 
-def _stitched(pieces: DataFrame, keys: list[str], with_text: bool) -> DataFrame:
+def _stitched(pieces: DataFrame, keys: list[str], in_bytes: bool) -> DataFrame:
     """Numbers the pieces of texts of several ranges and bounds overlaps that reach over a range start."""
     per_range = pieces.groupBy(*keys, "range_no").agg(F.count("*").alias("n_pieces"), F.max("body_start").alias("last_body"))
     order = Window.partitionBy(*keys).orderBy("range_no")
@@ -181,10 +191,9 @@ def _stitched(pieces: DataFrame, keys: list[str], with_text: bool) -> DataFrame:
     )
     joined = pieces.join(table, [*keys, "range_no"])
     start = F.when(F.col("i") == 0, F.greatest("start", F.coalesce("least", F.lit(0)))).otherwise(F.col("start"))
-    cols: list[str | Column] = [*keys, (F.col("before") + F.col("i") + 1).cast("int").alias("piece_no"), start.alias("start"), "body_start", "end", "kind"]
-    if with_text:
-        cols.append(F.substring(F.col("piece"), (start - F.col("start") + 1).cast("int"), F.length("piece")).alias("piece"))
-    return joined.select(*cols)
+    skip = (start - F.col("start") + 1).cast("int")
+    piece = F.decode(F.substring(F.encode("piece", "UTF-8"), skip, F.octet_length("piece")), "UTF-8") if in_bytes else F.substring(F.col("piece"), skip, F.length("piece"))
+    return joined.select(*keys, (F.col("before") + F.col("i") + 1).cast("int").alias("piece_no"), start.alias("start"), "body_start", "end", "kind", piece.alias("piece"))
 
 
 def split_files(spark: SparkSession, paths: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, size: int = 64 << 20, with_text: bool = True) -> DataFrame:
@@ -203,8 +212,7 @@ def split_files(spark: SparkSession, paths: DataFrame, limit: int = LIMIT, overl
         with open(row.path, "rb") as f:
             f.seek(lo - back)
             raw = f.read(back + size + limit)
-        # latin-1 keeps offsets equal to bytes; ASCII boundaries are the same in UTF-8
-        text = raw.decode("latin-1")
+        text = by_bytes(raw)
         is_last = lo + size >= row.n
         for i, (s, b, e, kind) in enumerate(cut_range(text, back, back + size, row.range_no == 0, is_last, limit, overlap)):
             s, b, e = (_char_start(raw, x) for x in (s, b, e))
@@ -216,6 +224,21 @@ def split_files(spark: SparkSession, paths: DataFrame, limit: int = LIMIT, overl
     return done.unionByName(_stitched(pieces.filter("NOT alone"), ["path"], True))
 
 
+def by_bytes(raw: bytes) -> str:
+    """UTF-8 as a string in which every character takes as many places as it has bytes, so that offsets are bytes.
+
+    White space fills its places with blanks; any other character stands at its last place.
+    Bytes that are no UTF-8, as at the ends of a range, take one place each.
+    """
+
+    def placed(m: re.Match) -> str:
+        c = m[0]
+        n = len(c.encode("utf-8", "surrogateescape"))
+        return " " * n if c.isspace() else "\x7f" * (n - 1) + ("\x7f" if "\udc80" <= c <= "\udcff" else c)
+
+    return re.sub(r"[^\x00-\x7f]", placed, raw.decode("utf-8", "surrogateescape"))
+
+
 def _char_start(raw: bytes, at: int) -> int:
     """The nearest offset at or before at that does not split a UTF-8 sequence."""
     while 0 < at < len(raw) and raw[at] & 0xC0 == 0x80:
