@@ -30,18 +30,43 @@ def test_dominant_records(spark):
     assert survivors.dominant_records(ent(spark, []), trust).count() == 0
 
 
+def copied_lists(groups=400):
+    """Counts of patterns: a, b and d list items by themselves, b many false ones, and c copies nine tenths of b."""
+    rnd, asked, patterns = random.Random(3), ("a", "b", "c", "d"), {}
+    for g in range(groups):
+        true = [f"t{i}" for i in range(6)]
+        lists = {s: {t for t in true if rnd.random() < 0.6} for s in "abd"}
+        for s, share in (("a", 0.1), ("b", 0.3), ("d", 0.1)):
+            lists[s] |= {f"f{s}{k}" for k in range(max(1, round(len(lists[s]) * share / (1 - share)))) if rnd.random() < 0.9}
+        lists["c"] = {x for x in lists["b"] if rnd.random() < 0.9}
+        for item in set().union(*lists.values()):
+            k = (tuple(s for s in asked if item in lists[s]), asked, False)
+            patterns[k] = patterns.get(k, 0) + 1
+    return [(*k, n) for k, n in patterns.items()], asked
+
+
 def test_copied_votes_count_less():
-    # c copies b, also in what is false; a and d work alone
-    rnd = random.Random(1)
-    asked = ("a", "b", "c", "d")
-    patterns = {}
+    patterns, asked = copied_lists()
+    m = survivors.fit_sources(patterns, list(asked), 12, 0.1, 0.8, 20)
+    assert m.copies["b", "c"] > 0.99 and max(v for k, v in m.copies.items() if k != ("b", "c")) < 0.01
+    assert m.acc["b"] < m.acc["a"] + 0.05 and m.acc["c"] < 0.9
+    p = {v: survivors._posterior(v, asked, m, 0.8, 20, False) for v in (("b", "c"), ("a", "b"), ("b",), ("a", "d"))}
+    assert p["a", "b"] > 0.9 and p["a", "d"] > 0.9 and p["b", "c"] < p["a", "b"] - 0.2
+    # without the discount b's copies are believed
+    alone = survivors.SourceModel(m.acc, m.recall)
+    assert survivors._posterior(("b", "c"), asked, alone, 0.8, 20, False) > 0.9
+
+
+def test_copies_of_single_values():
+    rnd, asked, patterns = random.Random(1), ("a", "b", "c", "d"), {}
     for _ in range(400):
-        false = rnd.random() < 0.3
-        votes = [("b", "c"), ("a", "d")] if false else [asked]
-        for v in votes:
-            patterns[v] = patterns.get(v, 0) + 1
-    acc, copies = survivors.fit_sources([(v, asked, False, n) for v, n in patterns.items()], list(asked), 3, 0.1, 0.8, 20)
-    assert all(0 < x < 1 for x in acc.values()) and all(0 <= x <= 1 for x in copies.values())
+        own = {s: "true" if rnd.random() < r else f"{s}{rnd.randrange(20)}" for s, r in (("a", 0.9), ("b", 0.7), ("d", 0.9))}
+        own["c"] = own["b"] if rnd.random() < 0.9 else "true"
+        for v in set(own.values()):
+            k = (tuple(s for s in asked if own[s] == v), asked, True)
+            patterns[k] = patterns.get(k, 0) + 1
+    m = survivors.fit_sources([(*k, n) for k, n in patterns.items()], list(asked), 12, 0.1, 0.8, 20)
+    assert m.copies["b", "c"] > 0.99 and m.copies["a", "d"] < 0.01 and m.acc["b"] < m.acc["a"]
 
 
 def test_fused_fields(spark):
