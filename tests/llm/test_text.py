@@ -83,7 +83,33 @@ def test_markup_kinds(text, want):
 def test_clean_keeps_structure():
     text = "## Head\n\nA *b* [c](d).\n\n* one\n* two\n\n```\nx = a * b\n```\n\n\\begin{equation}\n y_t = 1\n\\end{equation}\n"
     assert markup.render(markup.parse(text)) == "Head\n\nA b c.\n\n- one\n- two\n\n    x = a * b\n\n     y_t = 1"
-    assert markup.tree_match(("a", [("b", []), ("c", [])]), ("a", [("c", []), ("b", [])])) == 2
+    assert markup.tree_match(("a", "", [("b", "", []), ("c", "", [])]), ("a", "", [("c", "", []), ("b", "", [])]))[0] == 2
+
+
+def test_long_and_deep_markup():
+    for text, kind in (("**" + "b " * 300 + "b**", "markdown"), ("$x^2 " + "+ y " * 400 + "z$", "latex"), ("{{" + "p=1 " * 900 + "}}", "wiki"), ("[" + "w " * 400 + "w](http://x.y)", "markdown"), ("<a title='" + "t " * 1500 + "'>x</a>", "html")):
+        assert markup.kinds(text) == [kind], text[:20]
+    deep = "word"
+    for k in range(12):
+        deep = f"\\textbf{{{deep}}}"
+    assert markup.render(markup.parse(deep)) == "word"
+
+
+def test_wrapper_induction(spark):
+    rnd = random.Random(3)
+    words = "market river growth tax orchard weather account transport season price".split()
+    line = lambda: " ".join(rnd.choice(words) for _ in range(9)) + "."
+    page = lambda i: f"Welcome to the portal\n\n# Report {i}\n\n{line()}\n\n{line()}\n\n## Links\n\n- Home\n- Contact us\n\nAll rights reserved"
+    rows = [("p%d" % i, 0, page(i), "a.org") for i in range(12)] + [("q%d" % i, 0, page(i), "b.org") for i in range(3)] + [("n", 0, None, "a.org"), ("m", 0, "Welcome to the portal", None), ("x", 0, "## Links\n\n- Home\n- Other " + line(), "a.org")]
+    df = spark.createDataFrame(rows, "doc_id string, sec_no int, text string, host string")
+    clean = {r.doc_id: r.clean for r in markup.clean_texts(df, "host").collect()}
+    assert len(clean) == len(rows) and clean["n"] is None and clean["m"] == "Welcome to the portal"
+    for i in range(12):
+        assert clean[f"p{i}"].startswith(f"Report {i}\n\n") and "Links" not in clean[f"p{i}"] and "Contact" not in clean[f"p{i}"] and "rights" not in clean[f"p{i}"] and "portal" not in clean[f"p{i}"]
+        assert clean[f"p{i}"].count(".") == 2
+    assert "Contact us" in clean["q0"]  # too few pages to tell
+    assert "Links" in clean["x"] and "Other" in clean["x"]  # a heading stays with content below it
+    assert markup.clean_texts(df.limit(0), "host").count() == 0
 
 
 def test_markup_found_counts_twins_once(spark):

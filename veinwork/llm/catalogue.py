@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veinwork.llm import markup, mixing, names, pairs, scans, splitting, subjects, survivors, texts, tokenizer
 from veinwork.session import table
@@ -21,7 +22,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.clean_texts(texts.all_texts(spark, sf_dir))
+    # texts of one folder and kind of file come from one source, as pages of one host
+    host = F.regexp_replace("source_path", r"[^/]+(\.[^./]*)?$", "$1")
+    hosts = table(spark, sf_dir, "parsed_documents").select("doc_id", host.alias("host"))
+    return markup.clean_texts(texts.all_texts(spark, sf_dir).join(hosts, "doc_id", "left"), "host")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
