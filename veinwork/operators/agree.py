@@ -21,13 +21,18 @@ from veinwork.operators.resolve import similar_names
 from veinwork.session import tasks
 
 
-def candidate_matches(text: DataFrame, code: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(text_ord, code_ord, name, abstract, same_type, score) of pairs that may be matched."""
+def candidate_matches(text: DataFrame, code: DataFrame, threshold: float = 0.85, scored: DataFrame | None = None) -> DataFrame:
+    """(text_ord, code_ord, name, abstract, same_type, score) of pairs that may be matched.
+
+    scored takes the place of similar_names: (a, b, score) of normalised names by any other
+    measure, with its own way of finding candidates.
+    """
     t = text.filter("name IS NOT NULL").select(F.col("ord").alias("text_ord"), "name", F.col("entity_type").alias("tt"), F.coalesce("abstract", F.lit(False)).alias("abstract"), matcher_name(F.col("name")).alias("a"))
     c = code.filter("name IS NOT NULL").select(F.col("ord").alias("code_ord"), F.col("entity_type").alias("ct"), matcher_name(F.col("name")).alias("b"))
-    scored = similar_names(t.select(F.col("a").alias("name")), c.select(F.col("b").alias("name")), threshold)
+    if scored is None:
+        scored = similar_names(t.select(F.col("a").alias("name")), c.select(F.col("b").alias("name")), threshold)
     return (
-        scored.join(t, "a").join(c, "b").withColumn("same_type", F.col("tt").eqNullSafe(F.col("ct")))
+        scored.filter(F.col("score") >= threshold).join(t, "a").join(c, "b").withColumn("same_type", F.col("tt").eqNullSafe(F.col("ct")))
         .filter("same_type OR abstract").select("text_ord", "code_ord", "name", "abstract", "same_type", "score")
     )
 
@@ -58,9 +63,9 @@ def assign(pairs: list[tuple[int, int, str, bool, bool, float]]) -> list[tuple[i
     return out
 
 
-def matched_entities(text: DataFrame, code: DataFrame, threshold: float = 0.85, most_pairs: int = 200_000) -> DataFrame:
+def matched_entities(text: DataFrame, code: DataFrame, threshold: float = 0.85, most_pairs: int = 200_000, scored: DataFrame | None = None) -> DataFrame:
     """(text_ord, code_ord, kind): the one-to-one assignment; a block of more than most_pairs pairs is a ValueError."""
-    pairs = candidate_matches(text, code, threshold).persist(StorageLevel.MEMORY_AND_DISK)
+    pairs = candidate_matches(text, code, threshold, scored).persist(StorageLevel.MEMORY_AND_DISK)
     # what may compete: a text entity with its partners, and text entities of one name
     ends = pairs.select(F.concat(F.lit("t"), "name").alias("source"), F.concat(F.lit("c"), F.col("code_ord").cast("string")).alias("target")).distinct()
     blocks = components(ends)
@@ -76,13 +81,13 @@ def matched_entities(text: DataFrame, code: DataFrame, threshold: float = 0.85,
     return placed.repartition(tasks(placed), "component").groupBy("component").applyInPandas(run, "text_ord bigint, code_ord bigint, kind string")
 
 
-def merge_extractions(text: DataFrame, text_relations: DataFrame, code: DataFrame, code_relations: DataFrame, threshold: float = 0.85) -> dict[str, DataFrame]:
+def merge_extractions(text: DataFrame, text_relations: DataFrame, code: DataFrame, code_relations: DataFrame, threshold: float = 0.85, scored: DataFrame | None = None) -> dict[str, DataFrame]:
     """The buckets of both extractions: agreement, text_only and code_only of entities and relations, and sign_conflicts.
 
     Agreed entities of one type bear the name of the code entity and both ords; an
     abstract text entity bound to code stays beside it, with an 'implements' relation.
     """
-    links = matched_entities(text, code, threshold).persist(StorageLevel.MEMORY_AND_DISK)
+    links = matched_entities(text, code, threshold, scored=scored).persist(StorageLevel.MEMORY_AND_DISK)
     t = text.select(F.col("ord").alias("text_ord"), F.col("name").alias("text_name"), F.col("entity_type").alias("text_type"))
     c = code.select(F.col("ord").alias("code_ord"), F.col("name").alias("code_name"), F.col("entity_type").alias("code_type"))
     pairs = links.join(t, "text_ord").join(c, "code_ord").persist(StorageLevel.MEMORY_AND_DISK)

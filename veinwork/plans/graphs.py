@@ -168,9 +168,31 @@ def entity_table(s, d):
     return e.join(deg, "name", "left").select("ord", "name", size("observations").alias("n_observations"), size("provenance").alias("n_sources"), F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
+def relation_table(s, d):
+    """Edges of two types, as a table with the types of their ends."""
+    e = G.collapsed_edges(table(s, d, "relations")).filter("relation_type IN ('causes', 'amplifies')")
+    t = G.replaced_entities(ent(s, d)).select("name", "entity_type")
+    for end in ("source", "target"):
+        e = e.join(t.select(F.col("name").alias(end), F.col("entity_type").alias(f"{end}_type")), end, "left")
+    return e.select("source", "target", "relation_type", "source_type", "target_type")
+
+
+def graph_counts(s, d):
+    e = G.collapsed_edges(table(s, d, "relations"))
+    n = G.node_set(e, ent(s, d)).agg(F.count("*").alias("n_entities"))
+    return n.join(F.broadcast(e.agg(F.count("*").alias("n_relations"))))
+
+
+def explorer_nodes(s, d):
+    """Nodes of two types with the size they are drawn in, by their degree among each other."""
+    keep = G.replaced_entities(ent(s, d)).filter("entity_type IN ('mechanism', 'market')").select("name")
+    deg = G.degree_centrality(G.induced_subgraph(G.collapsed_edges(table(s, d, "relations")), keep)).select("name", "degree")
+    return keep.join(deg, "name", "left").select("name", (20 + 5 * F.coalesce("degree", F.lit(0))).alias("size"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (transition_edges, degree_centrality, degree_topk, entity_type_counts, relation_type_counts, merged_entities, dedup_entities, replaced_entities, collapsed_edges,
+    for f in (relation_table, graph_counts, explorer_nodes, transition_edges, degree_centrality, degree_topk, entity_type_counts, relation_type_counts, merged_entities, dedup_entities, replaced_entities, collapsed_edges,
               known_relations, relation_dedupe, relation_renames, neighbors_both, neighbors_out, neighbors_in, induced_subgraph, khop_subgraph, graph_components, simple_cycles,
               chains_topk, scc_count, orphans, groundedness_by_type, signedness, consistency, sign_conflict_pairs, graph_diff, falsify_buckets, entity_ids, claim_ids, entity_table)
 }
@@ -183,7 +205,11 @@ _DEG = "deg AS (SELECT name, count(*) AS degree FROM (SELECT source AS name FROM
 _ARR = "coalesce(array_to_string(list_sort(list_distinct(flatten(list(coalesce({c}, []))))), '|'), '')"
 _LAST = "SELECT name, arg_max(entity_type, ord) AS entity_type, max(ord) AS ord FROM entities {w} GROUP BY name"
 _NEAR = {k: v.replace("ROOT", "'Food Web'") for k, v in {"both": "SELECT target AS name FROM r WHERE source = ROOT UNION SELECT source FROM r WHERE target = ROOT", "out": "SELECT DISTINCT target AS name FROM r WHERE source = ROOT", "in": "SELECT DISTINCT source AS name FROM r WHERE target = ROOT"}.items()}
+_LE = "le AS (SELECT name, arg_max(entity_type, ord) AS t FROM entities GROUP BY name)"
 SQL = {
+    "relation_table": f"WITH {_C}, {_LE} SELECT source, target, l.rt AS relation_type, a.t AS source_type, b.t AS target_type FROM c LEFT JOIN le a ON a.name = source LEFT JOIN le b ON b.name = target WHERE l.rt IN ('causes', 'amplifies')",
+    "graph_counts": f"WITH {_C}, n AS (SELECT source AS name FROM c UNION SELECT target FROM c UNION SELECT name FROM entities WHERE name IS NOT NULL) SELECT (SELECT count(*) FROM n) AS n_entities, (SELECT count(*) FROM c) AS n_relations",
+    "explorer_nodes": f"WITH {_C}, {_LE}, k AS (SELECT name FROM le WHERE t IN ('mechanism', 'market')), e AS (SELECT source, target FROM c WHERE source IN (SELECT name FROM k) AND target IN (SELECT name FROM k)), deg AS (SELECT name, count(*) AS n FROM (SELECT source AS name FROM e UNION ALL SELECT target FROM e) GROUP BY 1) SELECT k.name, 20 + 5 * coalesce(n, 0) AS size FROM k LEFT JOIN deg USING (name)",
     "transition_edges": f"WITH {_T} SELECT * FROM edges",
     "degree_centrality": f"WITH {_T}, d AS (SELECT name, count(*) AS degree FROM (SELECT source AS name FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1) SELECT name, degree, round(degree / ((SELECT count(*) FROM d) - 1), 6) AS centrality FROM d",
     "degree_topk": f"WITH {_C}, {_DEG} SELECT name, degree FROM deg ORDER BY degree DESC, name LIMIT 15",
