@@ -209,71 +209,77 @@ def cluster_block(forms: list[tuple[str, list[str], str]], anchor: str) -> list[
         if org[i]:
             j = by_words.setdefault(tuple(rest[i]), i)
             union(i, j)
-    # acronyms: capitals that spell the words of one organisation of this place
+    # acronyms: capitals that spell the words of one organisation of this place, with one letter more at most
+    spelt: dict[tuple, set[int]] = defaultdict(set)
+    for j in range(n):
+        if org[j]:
+            spelt[tuple(sorted([anchor[0], *(w[0] for w in rest[j])]))].add(j)
     for i in range(n):
         if not org[i] and not rest[i] and len(forms[i][2]) >= 3:
             letters = sorted(forms[i][2])
-            fits = set()
-            for j in range(n):
-                if org[j]:
-                    own = sorted([anchor[0], *(w[0] for w in rest[j])])
-                    extra = list(letters)
-                    for c in own:
-                        if c in extra:
-                            extra.remove(c)
-                        else:
-                            extra = None
-                            break
-                    if extra is not None and len(extra) <= 1:
-                        fits.add((len(extra), find(j)))
-            least = min((e for e, _ in fits), default=None)
-            best = {c for e, c in fits if e == least}
-            if len(best) == 1:
-                union(i, best.pop())
-    # persons with a given name; middle initials must not differ
+            for shorter in ({tuple(letters)}, {tuple(letters[:k] + letters[k + 1 :]) for k in range(len(letters))}):
+                best = {find(j) for k in shorter for j in spelt.get(k, ())}
+                if best:
+                    if len(best) == 1:
+                        union(i, best.pop())
+                    break
+    # persons with a given name; middle initials must not differ. Groups are found by their given names and all these stand for
     full = [i for i in range(n) if not org[i] and len(rest[i]) >= 1]
     groups: list[dict] = []
+    by_given: dict[str, set[int]] = defaultdict(set)
+    by_head: dict[str, dict[int, None]] = defaultdict(dict)
+
+    def known(at: int, given: set[str]) -> None:
+        for x in set().union(*_given_sets(sorted(given))):
+            by_given[x].add(at)
+            by_head[x[0]][at] = None
+
     for i in sorted(full, key=lambda i: (any(w in _NICK for w in rest[i]), len(forms[i][2]) == 0, -len(rest[i]), forms[i][0])):
         given, middle = set(rest[i]), set(forms[i][2])
         fits = []
-        for g in groups:
+        for at in sorted({g for x in set().union(*_given_sets(sorted(given))) for g in by_given.get(x, ())}):
+            g = groups[at]
             mine, theirs = sorted((_given_sets(sorted(given)), _given_sets(sorted(g["given"]))), key=len)
             same = all(any(a & b for b in theirs) for a in mine)
             if same and not (middle and g["middle"] and not (middle & g["middle"])):
-                exact = bool(given & g["given"])
-                fits.append((not exact, g))
-        exact = [g for ne, g in fits if not ne]
-        fits_ = exact or [g for _, g in fits]
+                fits.append((not given & g["given"], at))
+        exact = [at for ne, at in fits if not ne]
+        fits_ = exact or [at for _, at in fits]
         if len(fits_) == 1:
-            g = fits_[0]
+            g = groups[fits_[0]]
             union(i, g["at"])
             g["given"] |= given
             g["middle"] |= middle
+            known(fits_[0], given)
         elif not fits_:
             groups.append({"given": given, "middle": middle, "at": i})
+            known(len(groups) - 1, given)
         elif exact and not middle:
-            union(i, exact[0]["at"])
-    # initials only
+            union(i, groups[exact[0]]["at"])
+    # initials only: the one person whose given name begins so, by the first initial or else by the second
     only = [i for i in range(n) if not org[i] and not rest[i] and forms[i][2] and find(i) == i]
     for i in only:
         ini = forms[i][2]
-        fits = []
-        for g in groups:
-            heads = {v[0] for s in _given_sets(sorted(g["given"])) for v in s}
-            for a in range(min(2, len(ini))):
-                others = set(ini[:a] + ini[a + 1 :])
-                if ini[a] in heads and not (others and g["middle"] and not (others & g["middle"])):
-                    fits.append((a, g))
-                    break
-        first = [g for a, g in fits if a == 0] or [g for _, g in fits]
+        first: list[int] = []
+        for a in range(min(2, len(ini))):
+            others = set(ini[:a] + ini[a + 1 :])
+            for at in by_head.get(ini[a], ()):
+                if not (others and groups[at]["middle"] and not (others & groups[at]["middle"])):
+                    first.append(at)
+                    if len(first) > 1:
+                        break
+            if first:
+                break
         if len(first) == 1:
-            union(i, first[0]["at"])
-    loose = [i for i in only if find(i) == i]
-    for k, i in enumerate(loose):
-        same = [j for j in loose if j != i and forms[j][2][0] == forms[i][2][0]]
-        whole = {forms[j][2][1:] for j in [*same, i] if len(forms[j][2]) > 1}
-        if same and len(whole) <= 1 and not any(forms[i][2][0] in {v[0] for s in _given_sets(sorted(g["given"])) for v in s} for g in groups):
-            union(i, same[0])
+            union(i, groups[first[0]]["at"])
+    loose: dict[str, list[int]] = defaultdict(list)
+    for i in only:
+        if find(i) == i:
+            loose[forms[i][2][0]].append(i)
+    for head, same in loose.items():
+        if len(same) > 1 and len({forms[j][2][1:] for j in same if len(forms[j][2]) > 1}) <= 1 and head not in by_head:
+            for i in same:
+                union(i, same[0])
     return [find(i) for i in range(n)]
 
 

@@ -38,21 +38,10 @@ from veinwork.session import bounded, spread
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*|\n+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[一-鿿]+")
+_TOKEN = re.compile(_WORD.pattern + "|\x00")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]+")
 
 
-def terms(sentence: str) -> list[str]:
-    """Words in lower case; of scripts without spaces the pairs of neighbouring signs."""
-    out = []
-    for w in _WORD.findall(sentence.lower()):
-        if w[0] >= "\u3000":
-            for run in _CJK.findall(w):
-                out += [run[i : i + 2] for i in range(len(run) - 1)]
-        else:
-            out.append(w)
-    return out
-
-
 def sentences(text: str) -> list[str]:
     return [s for s in _SENTENCE.split(text) if s and not s.isspace()]
 
@@ -82,10 +71,23 @@ class Sentences:
 
     @staticmethod
     def split(text: str) -> tuple[list[int], list[int], list[int]]:
-        """(length of each sentence, number of its terms, all terms) of one text."""
-        found = sentences(text)
-        words = [terms(x) for x in found]
-        return [len(x) for x in found], [len(w) for w in words], [term_hash(t) for w in words for t in w]
+        """(length of each sentence, number of its terms, hashes of all terms) of one text.
+
+        Terms are words in lower case; of scripts without blanks the pairs of neighbouring signs.
+        """
+        found = sentences(text.replace("\x00", " "))
+        hashed: list[int] = []
+        sizes, begun, known = [], 0, _hashes.get
+        for w in _TOKEN.findall("\x00".join(found).lower()):  # one search for all sentences
+            if w == "\x00":
+                sizes.append(len(hashed) - begun)
+                begun = len(hashed)
+            elif w[0] >= "\u3000":
+                hashed += [term_hash(run[i : i + 2]) for run in _CJK.findall(w) for i in range(len(run) - 1)]
+            else:
+                hashed.append(known(w) or term_hash(w))
+        sizes.append(len(hashed) - begun)
+        return [len(x) for x in found], sizes[: len(found)], hashed
 
     @classmethod
     def of_rows(cls, lengths, sizes, hashed) -> Sentences:
