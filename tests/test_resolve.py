@@ -151,3 +151,49 @@ def test_feedback_merges_before_it_restarts(spark):
     assert (2, "D") in rows and rows[2, "D"].confidence == 0.225 and (0, "D") not in rows
     general = run_feedback(claims, shock, regime={"v": "1"}).count()
     assert general > 0
+
+
+def heap_cascade(edges, start, direction, least, deepest):
+    """Effects by a queue on falling confidence, first come first; edges are (source, target, confidence, direction) in order."""
+    import heapq
+
+    effects, n, queue = {}, 0, [(-1.0, 0, start, [start], direction)]
+    while queue:
+        c, _, at, path, d = heapq.heappop(queue)
+        if len(path) > deepest + 1:
+            continue
+        e = effects.setdefault(at, {"first": d, "path": path, "conf": -c, "dirs": {}, "paths": []})
+        e["dirs"][d] = e["dirs"].get(d, 0) + 1
+        e["paths"].append(path)
+        for s, t, conf, edge in edges:
+            if s == at and -c * conf >= least and t not in path:
+                n += 1
+                new = "ambiguous" if "ambiguous" in (d, edge) else "state_dependent" if "state_dependent" in (d, edge) else "positive" if d == edge else "negative"
+                heapq.heappush(queue, (c * conf, n, t, [*path, t], new))
+    return {
+        at: ("conflicted" if len(set(e["dirs"]) - {"ambiguous", "state_dependent"}) > 1 else e["first"], round(e["conf"], 9), tuple(e["path"]), tuple(sorted(e["dirs"].items())), tuple(map(tuple, e["paths"])))
+        for at, e in effects.items()
+    }
+
+
+def test_cascades_equal_a_queue(spark):
+    from veinwork.operators.cascade import run_cascade
+
+    mech = "struct<name:string,direction:string,time_lag_min:string,time_lag_max:string,conditions:array<struct<variable:string,operator:string,threshold:string,description:string,currently_met:boolean>>>"
+    rnd, claims, shocks, want = random.Random(7), [], [], {}
+    for g in range(40):  # graphs that don't touch, each with its own shock; equal confidences make ties
+        edges = []
+        for _ in range(rnd.randint(3, 12)):
+            a, b = rnd.sample("uvwxyz", 2)
+            edges.append((f"{g}{a}", f"{g}{b}", rnd.choice([0.5, 0.8, 0.8, 1.0]), rnd.choice(["positive", "negative", "negative", "ambiguous", "state_dependent"])))
+        for s, t, c, d in edges:
+            claims.append((len(claims) + 1, s, t, c, [("m", d, None, None, [])]))
+        shocks.append((f"s{g}", f"{g}u", rnd.choice(["positive", "negative"]), {}))
+        want |= {(f"s{g}", at): e for at, e in heap_cascade(edges, f"{g}u", shocks[-1][2], 0.2, 4).items()}
+    df = spark.createDataFrame(claims, f"ord long, source string, target string, confidence double, mechanisms array<{mech}>")
+    sh = spark.createDataFrame(shocks, "shock_id string, entity string, direction string, regime_context map<string,string>")
+    got = {
+        (r.shock_id, r.entity): (r.direction, round(r.confidence, 9), tuple(r.causal_path), tuple(sorted(r.incoming_directions.items())), tuple(map(tuple, r.all_paths)))
+        for r in run_cascade(df, sh, 0.2, 4).collect()
+    }
+    assert got == want and len(got) > 80

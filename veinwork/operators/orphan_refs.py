@@ -105,11 +105,12 @@ def _suspect_keys(parents: DataFrame, children: DataFrame) -> DataFrame:
     return grouped.filter((F.col("n_refs") > 0) & ~covered).select("key", "n_refs", "lives")
 
 
-def orphan_references(parents: DataFrame, children: DataFrame, hot_share: float = 0.002) -> DataFrame:
+def orphan_references(parents: DataFrame, children: DataFrame, hot_share: float = 0.002, most_lives: int = 200_000) -> DataFrame:
     """(tab, ord, field, kind, month): one row for each reference without a live parent.
 
-    Keys that hold more than hot_share of all references number at most 1/hot_share;
-    they are broadcast to their references. All others are joined by key.
+    Keys that hold more than hot_share of all references number at most 1/hot_share; they
+    are broadcast to their references if their lives are at most most_lives together. All
+    others are joined by key.
     """
     suspects = _suspect_keys(parents, children).persist(StorageLevel.MEMORY_AND_DISK)
     at = F.coalesce(F.col("at"), F.lit(END).cast("timestamp_ntz"))
@@ -117,8 +118,9 @@ def orphan_references(parents: DataFrame, children: DataFrame, hot_share: float
 
     n = children.count()
     hot = suspects.filter(F.col("n_refs") > F.lit(max(1000.0, n * hot_share)))
-    hot_keys = [r.key for r in hot.select("key").collect()]  # at most 1/hot_share rows
-    if hot_keys:
+    hot_rows = hot.select("key", F.size("lives").alias("n")).collect()  # at most 1/hot_share rows
+    hot_keys = [r.key for r in hot_rows]
+    if hot_keys and sum(r.n for r in hot_rows) <= most_lives:
         is_hot = F.col("key").isin(hot_keys)
         joined = children.filter(is_hot).join(F.broadcast(hot), "key").unionByName(
             children.filter(~is_hot).join(suspects.filter(~is_hot), "key")
