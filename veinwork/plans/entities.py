@@ -207,6 +207,9 @@ WHEN {n} IS NULL THEN {value} = c.threshold WHEN c.operator = 'in_range' THEN CA
 WHEN {t} IS NULL THEN true WHEN c.operator = '>' THEN {n} > {t} WHEN c.operator = '<' THEN {n} < {t} WHEN c.operator = '>=' THEN {n} >= {t} WHEN c.operator = '<=' THEN {n} <= {t} ELSE true END, true)"""
 
 
+#: White space at the ends of a text, and where a window that begins at s ends.
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(8195) || chr(8201) || chr(12288)"
+_END = "CASE WHEN {s} + 2500 < n AND n > 2500 AND strpos(reverse(substring(x, {s} + 1, 2500)), '.') BETWEEN 1 AND 1249 THEN {s} + 2501 - strpos(reverse(substring(x, {s} + 1, 2500)), '.') WHEN n <= 2500 THEN n ELSE {s} + 2500 END"
 _STATUS = "CASE reversibility WHEN 'permanent' THEN 'reversed' WHEN 'unknown' THEN 'unknown' ELSE 'kept' END"
 _CLASS = "CASE WHEN {x} < 0.35 THEN 'correlation' WHEN {x} < 0.65 THEN 'weak_causal' ELSE 'strong_causal' END"
 SQL = {
@@ -218,6 +221,20 @@ SQL = {
     "cross_sign_conflicts": f"WITH {_R}, {_AB} SELECT a.ord AS ord_a, b.ord AS ord_b FROM a JOIN b USING (source, target, relation_type) WHERE a.sign IN ('+', '-') AND b.sign IN ('+', '-') AND a.sign <> b.sign",
     "name_blocking_pairs": f"WITH {_BLOCK} SELECT * FROM p",
     "fuzzy_resolve_lev": f"WITH {_BLOCK} SELECT * FROM p WHERE levenshtein(a, b) <= 0.15 * greatest(length(a), length(b))",
+    "chunks": f"""WITH RECURSIVE t AS (SELECT doc_id, full_text AS x, length(full_text) AS n FROM parsed_documents WHERE length(trim(full_text, {_WHITE})) >= 20),
+w AS (SELECT doc_id, x, n, 0 AS k, 0 AS s, {_END.format(s='0')} AS e FROM t UNION ALL SELECT doc_id, x, n, k + 1, e - 500, {_END.format(s='(e - 500)')} FROM w WHERE n > 2500 AND e - 500 < n)
+SELECT doc_id, CAST(k AS INTEGER) AS chunk_no, CAST(s AS INTEGER) AS char_start, CAST(least(e, n) - s AS INTEGER) AS n_chars FROM w""",
+    "md_sections": rf"""WITH l AS (SELECT doc_id, unnest(string_split(full_text, chr(10))) AS line, generate_subscripts(string_split(full_text, chr(10)), 1) AS i FROM parsed_documents WHERE full_text IS NOT NULL),
+h AS (SELECT *, regexp_full_match(line, '#{{1,6}}\s+.+') AS head FROM l), g AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM h),
+b AS (SELECT doc_id, sec, coalesce(max(trim(regexp_extract(line, '^#{{1,6}}\s+(.+)$', 1), {_WHITE})) FILTER (head), 'Introduction') AS heading, coalesce(max(length(regexp_extract(line, '^(#{{1,6}})\s', 1))) FILTER (head), 1) AS level,
+length(trim(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT head), ''), {_WHITE})) AS n_chars FROM g GROUP BY doc_id, sec)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sec) AS INTEGER) AS sec_no, heading, CAST(level AS INTEGER) AS level, CAST(n_chars AS INTEGER) AS n_chars FROM b WHERE n_chars > 0""",
+    "graph_summary": """WITH RECURSIVE c AS (SELECT source, target, arg_max(relation_type, ord) AS rt FROM relations WHERE source IS NOT NULL AND target IS NOT NULL AND edge_class = 'identity' AND relation_type = 'implements' GROUP BY 1, 2),
+n AS (SELECT source AS name FROM c UNION SELECT target FROM c UNION SELECT name FROM entities WHERE name IS NOT NULL), e AS (SELECT source AS a, target AS b FROM c UNION SELECT target, source FROM c),
+cc(name, component) USING KEY (name) AS (SELECT name, name FROM n UNION (SELECT u.name, min(v.component) FROM recurring.cc u JOIN e ON e.a = u.name JOIN cc v ON v.name = e.b WHERE v.component < u.component GROUP BY u.name)),
+w AS (SELECT source AS start, target AS cur, [source, target] AS path FROM c WHERE source <= target UNION ALL SELECT start, c.target, list_append(path, c.target) FROM w JOIN c ON c.source = cur WHERE cur <> start AND c.target >= start AND (c.target = start OR NOT list_contains(path, c.target)))
+SELECT 'n_entities' AS metric, count(*) AS value FROM n UNION ALL SELECT 'n_relations', count(*) FROM c UNION ALL SELECT 'n_components', count(DISTINCT component) FROM cc UNION ALL SELECT 'n_cycles', count(*) FROM w WHERE cur = start
+UNION ALL SELECT 'entity_type:' || coalesce(entity_type, 'null'), count(DISTINCT name) FROM entities GROUP BY entity_type UNION ALL SELECT 'relation_type:' || coalesce(rt, 'null'), count(*) FROM c GROUP BY rt""",
     "section_lengths": r"SELECT DISTINCT doc_id, sec_no FROM sections WHERE length(trim(text, E' \t\n\r')) >= 20",
     "temporal_gate": f"WITH {_C}, v AS (SELECT *, {_STATUS} AS status FROM c WHERE confidence BETWEEN 0 AND 1 AND NOT isnan(confidence)) SELECT ord, round(CASE WHEN status = 'reversed' THEN least(confidence, 0.33) WHEN status = 'unknown' AND causal_type = 'macro_statistical' THEN confidence * 0.7 ELSE confidence END, 6) AS confidence, CASE WHEN status = 'reversed' THEN 'correlation' WHEN status = 'unknown' AND causal_type = 'macro_statistical' THEN {_CLASS.format(x='(confidence * 0.7)')} ELSE strength END AS strength FROM v",
     "claim_validity": f"WITH {_C} SELECT ord, CAST(CASE WHEN coalesce(list_bool_or(list_transform(geographic_entities, lambda p: lower(p) = 'varlenemoor')), false) THEN 1.0 WHEN lower(coalesce(geographic_scope, '')) IN ('global', 'oecd') THEN CASE WHEN contains(lower(geographic_scope), 'oecd') THEN 0.7 ELSE 0.5 END ELSE 0.4 END AS DOUBLE) AS validity FROM c",
