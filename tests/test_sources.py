@@ -82,6 +82,9 @@ def test_graph_and_claim_files_round_trip(spark, tmp_path):
     S.write_lines(S.graph_lines(e, r, d, "x"), again)
     e2, r2, d2 = S.read_graph(spark, again)
     assert sorted(map(str, e.collect())) == sorted(map(str, e2.collect())) and sorted(map(str, r.collect())) == sorted(map(str, r2.collect())) and d2.collect()[0][0] == "d"
+    twice = r.unionByName(r).withColumn("ord", F.lit(None).cast("bigint"))
+    S.write_lines(S.graph_lines(e, twice), again)
+    assert len(json.loads(open(again).read())["relations"]) == 4
     S.write_lines(S.graph_lines(e.limit(0), r.limit(0)), again)
     assert json.loads(open(again).read())["entities"] == {}
     path = str(tmp_path / "c.json")

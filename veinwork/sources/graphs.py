@@ -96,11 +96,13 @@ def _object_lines(spark: SparkSession, scalars: list, parts: list, documents: Da
         out = out.unionByName(documents.agg(docs.alias("d")).select(at(n).alias("pos"), F.concat(F.lit('"documents": '), "d", F.lit(",")).alias("value")))
         n += 1
     for i, (name, rows, keyed) in enumerate(parts):
-        # a leading comma for every record but the first keeps each line independent of its followers
-        first = rows.agg(F.min(F.struct("ord", "k")).alias("m"))
+        # a leading comma for every record but the first keeps each line independent of its followers; equal records share a line
+        rows = rows.groupBy("ord", "k", "v").agg(F.count("*").alias("times"))
+        first = rows.agg(F.min(F.struct("ord", "k", "v")).alias("m"))
+        entry = F.concat(F.regexp_extract(F.to_json(F.struct(F.col("k").alias("s"))), r'^\{"s":(.*)\}$', 1), F.lit(": "), "v") if keyed else F.col("v")
         body = rows.join(F.broadcast(first)).select(
             at(n + 1, "ord", "k").alias("pos"),
-            F.concat(F.when(F.struct("ord", "k") == F.col("m"), "  ").otherwise(", "), F.concat(F.regexp_extract(F.to_json(F.struct(F.col("k").alias("s"))), r'^\{"s":(.*)\}$', 1), F.lit(": ")) if keyed else F.lit(""), "v").alias("value"),
+            F.concat(F.when(F.struct("ord", "k", "v").eqNullSafe(F.col("m")), "  ").otherwise(", "), F.array_join(F.array_repeat(entry, F.col("times").cast("int")), ", ")).alias("value"),
         )
         out = out.unionByName(line(n, f'"{name}": ' + ("{" if keyed else "["))).unionByName(body).unionByName(line(n + 2, ("}" if keyed else "]") + ("," if i + 1 < len(parts) else "")))
         n += 3
@@ -114,17 +116,11 @@ def claim_lines(claims: DataFrame, regime: dict[str, str] | None = None, build_d
     as_json = lambda v: F.to_json(F.struct(v.alias("s")))
     regime_map = F.create_map(*[F.lit(x) for kv in (regime or {}).items() for x in kv]).cast("map<string,string>")
     names = last.select(F.explode(F.array("source", "target")).alias("n")).filter("n IS NOT NULL").distinct()
-    ents = _records(names, F.lit("")).select("k", F.regexp_extract("v", r'^\{"n":(.*)\}$', 1).alias("v"), F.row_number().over(_by("v")).cast("bigint").alias("ord"))
+    ents = names.select(F.col("n").alias("k"), F.regexp_extract(as_json(F.col("n")), r'^\{"s":(.*)\}$', 1).alias("v"), F.lit(0).cast("bigint").alias("ord"))
     return _object_lines(spark, [("schema_name", as_json(F.lit("causal"))), ("build_date", as_json(F.lit(build_date))), ("regime_context", as_json(regime_map))],
                          [("claims", _records(last, F.col("id")), True), ("entities", ents, False)], None)
 
 
-def _by(c: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(c)  # names of one file, written in one order
-
-
 def write_lines(lines: DataFrame, path: str) -> int:
     """Lines sorted by pos into one local file, streamed part by part; returns their number."""
     n = 0
