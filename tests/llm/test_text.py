@@ -112,6 +112,28 @@ def test_wrapper_induction(spark):
     assert markup.clean_texts(df.limit(0), "host").count() == 0
 
 
+def test_wrappers_come_from_all_pages(spark):
+    # of one host the 45 pages of least hash bear a notice and 150 others don't; of another nearly all pages are long
+    noticed = spark.createDataFrame([(f"Notice of today\n\nBody {i}\n\nImprint",) for i in range(300)], "text string").selectExpr("text", "xxhash64(text) AS k").orderBy("k").limit(45)
+    others = spark.createDataFrame([(f"Body {i}\n\nImprint",) for i in range(1000, 1900)], "text string").selectExpr("text", "xxhash64(text) AS k").orderBy("k", ascending=False).limit(150)
+    long = ["Portal\n\n" + "\n\n".join(f"Line {i} {j}" for j in range(400)) for i in range(8)] + [f"Portal\n\nBody {i}" for i in range(3)]
+    # no page of a third host has all that is constant on it: each lacks one of four lines
+    lines_ = ["> Line 0", "- Line 1", "| Line 2 |", "# Line 3"]
+    some = ["\n\n".join([f"Body {i}"] + [x for k, x in enumerate(lines_) if k != i % 4]) for i in range(12)]
+    rows = [(f"a{i}", 0, r.text, "a") for i, r in enumerate([*noticed.collect(), *others.collect()])] + [(f"b{i}", 0, t, "b") for i, t in enumerate(long)] + [(f"c{i}", 0, t, "c") for i, t in enumerate(some)]
+    df = spark.createDataFrame(rows, "doc_id string, sec_no int, text string, host string")
+    want = [("a", "/para", "Imprint"), ("b", "/para", "Portal")] + [("c", "/heading1", "Line 3"), ("c", "/item", "Line 1"), ("c", "/quote", "Line 0"), ("c", "/row", "Line 2")]
+    assert sorted(map(tuple, markup.page_templates(df, "host").collect())) == want
+    # the same with a part for every few pages, and no template where nothing is constant
+    assert sorted(map(tuple, markup.page_templates(df, "host", align_pages=3).collect())) == want
+    assert markup.page_templates(df.filter("host = 'a'"), "host", least_share=1.1).count() == 0
+
+
+def test_long_pages_are_aligned():
+    page = ("page", "", [("para", str(i), []) for i in range(20_000)])
+    assert markup.tree_match(("page", "", [("para", str(7 * i), []) for i in range(300)]), page)[0] == 301
+
+
 def test_markup_found_counts_twins_once(spark):
     df = spark.createDataFrame([("d", 1, "a **b**", "x"), ("d", 1, "a **b**", "x"), ("e", 2, None, "x")], "doc_id string, sec_no int, text string, markup string")
     assert [tuple(r) for r in markup.markup_found(df).collect()] == [("d", 1, "markdown")]

@@ -21,12 +21,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veinwork.session import broadcast_if_small, spread
+from veinwork.session import broadcast_if_small, cut, spread, tasks
 
 # Element names of HTML.
 ELEMENTS = ("a abbr address article aside b big blockquote body br button caption center cite code col colgroup dd del details dfn div dl dt em "
@@ -370,6 +372,7 @@ def markup_found(texts: DataFrame) -> DataFrame:
 
 
 Tree = tuple[str, str, list]
+_PAIR = 1 << 32
 
 
 def block_tree(nodes: list[Node]) -> Tree:
@@ -388,6 +391,33 @@ def block_tree(nodes: list[Node]) -> Tree:
     return root
 
 
+def _sibling_match(m: list[Tree], n: list[Tree], trace: bool = False) -> tuple[int, np.ndarray | None]:
+    """Worth of the best order-preserving match of two lists of siblings, and, if asked for, the step taken at each cell.
+
+    Worth is the number of pairs times _PAIR and the number of pairs of equal text. One
+    row of the table is kept, and of the steps one byte a cell, so that long pages fit.
+    """
+    labels = {x[0]: i for i, x in enumerate(m)}
+    told = {x[1]: i for i, x in enumerate(m)}
+    label = np.fromiter((labels.get(y[0], -1) for y in n), "i8", len(n))
+    said = np.fromiter((told.get(y[1], -1) for y in n), "i8", len(n))
+    inner = [j for j, y in enumerate(n) if y[2]]
+    steps = np.empty((len(m), len(n)), "u1") if trace else None
+    best = np.zeros(len(n) + 1, "i8")
+    for i, x in enumerate(m):
+        worth = (label == labels[x[0]]) * (_PAIR + (said == told[x[1]]))
+        if x[2]:
+            for j in inner:
+                if n[j][0] == x[0]:
+                    worth[j] += _sibling_match(x[2], n[j][2])[0]
+        row = np.zeros(len(n) + 1, "i8")
+        np.maximum.accumulate(np.maximum(best[1:], best[:-1] + worth), out=row[1:])
+        if trace:
+            steps[i] = np.where(row[1:] == best[1:], 0, np.where(row[1:] == row[:-1], 1, 2))
+        best = row
+    return int(best[-1]), steps
+
+
 def tree_match(a: Tree, b: Tree) -> tuple[int, list[tuple[Tree, Tree]]]:
     """Simple tree matching: size of the greatest order-preserving match of two trees of equal roots, and its pairs of nodes.
 
@@ -396,23 +426,14 @@ def tree_match(a: Tree, b: Tree) -> tuple[int, list[tuple[Tree, Tree]]]:
     if a[0] != b[0]:
         return 0, []
     m, n = a[2], b[2]
-    below = {(i, j): tree_match(x, y) for i, x in enumerate(m) for j, y in enumerate(n) if x[0] == y[0]}
-    worth = {k: size + 0.001 * sum(x[1] == y[1] for x, y in pairs) for k, (size, pairs) in below.items()}
-    best = [[0.0] * (len(n) + 1) for _ in range(len(m) + 1)]
-    for i in range(len(m)):
-        for j in range(len(n)):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + worth.get((i, j), 0.0))
-    pairs, size, i, j = [(a, b)], 1, len(m), len(n)
+    pairs, i, j = [(a, b)], len(m), len(n)
+    steps = _sibling_match(m, n, True)[1] if m and n else None
     while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            size += below[i, j][0]
-            pairs += below[i, j][1]
-    return size, pairs
+        step = steps[i - 1, j - 1]
+        if step == 2:
+            pairs += tree_match(m[i - 1], n[j - 1])[1]
+        i, j = i - (step != 1), j - (step != 0)
+    return len(pairs), pairs
 
 
 def _paths(tree: Tree, above: str = "") -> Iterator[tuple[str, Tree]]:
@@ -422,42 +443,89 @@ def _paths(tree: Tree, above: str = "") -> Iterator[tuple[str, Tree]]:
         yield from _paths(child, path)
 
 
-def induced_template(pages: list[Tree], least_share: float) -> list[tuple[str, str]]:
-    """(path, text) of the constant nodes of pages of one host.
+def _key(path: str, text: str) -> bytes:
+    return blake2b(f"{path}\0{text}".encode(), digest_size=16).digest()
 
-    The page that matches the others best is the wrapper. All pages are aligned with it;
-    a node of the wrapper whose aligned nodes bear its text on least_share of the pages is
-    template, the others are slots of content.
-    """
-    if len(pages) < 2:
-        return []
-    tried = pages[: min(5, len(pages))]
-    wrapper = max(tried, key=lambda w: sum(tree_match(w, p)[0] for p in tried))
-    constant: Counter = Counter()
-    for p in pages:
-        for x, y in tree_match(wrapper, p)[1]:
-            constant[id(x)] += x[1] == y[1]
-    return sorted({(path, node[1]) for path, node in _paths(wrapper) if node[1] and constant[id(node)] >= least_share * len(pages)})
+
+def _page_keys(nodes: list[Node]) -> set[bytes]:
+    return {_key(path, node[1]) for path, node in _paths(block_tree(nodes)) if node[1]}
 
 
-def page_templates(texts: DataFrame, host: str, max_pages: int = 40, most_blocks: int = 300, least_pages: int = 5, least_share: float = 0.6) -> DataFrame:
+def _no_templates(texts: DataFrame, host: str) -> DataFrame:
+    return texts.select(F.col(host), F.lit("").alias("path"), F.lit("").alias("text")).limit(0)
+
+
+def page_templates(texts: DataFrame, host: str, least_pages: int = 5, least_share: float = 0.6, align_pages: int = 2000) -> DataFrame:
     """(host, path, text): the constant nodes of each host's pages.
 
-    Wrappers are induced from at most max_pages pages a host of at most most_blocks blocks,
-    chosen by hash, so that a host with a large part of all pages is no large group; hosts
-    with fewer than least_pages such pages have no template. Columns: host and text.
-    """
-    host_type = texts.schema[host].dataType.simpleString()
-    place = F.row_number().over(Window.partitionBy("h").orderBy("k", "text"))
-    sample = texts.select(F.col(host).alias("h"), "text", F.xxhash64("text").alias("k")).filter(F.col("h").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= 200 * most_blocks))
-    sample = sample.withColumn("place", place).filter(F.col("place") <= max_pages).select("h", "text")
+    All pages of a host count, of any length; hosts with fewer than least_pages have no
+    template. Only what stands on least_share of the pages can be constant, so nodes are
+    counted first. The page that shares most such nodes with the others is the wrapper,
+    the shortest if there are several; a node that it lacks has the best page with that
+    node as its wrapper. All pages are aligned with the wrappers of their host by tree
+    matching, and a node whose aligned nodes bear its text on least_share of the pages
+    is template, the others are slots of content. Columns: host and text.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parsed = [p for t in pdf["text"] if 0 < len(p := parse(t)) <= most_blocks]
-        found = induced_template([block_tree(p) for p in parsed], least_share) if len(parsed) >= least_pages else []
-        return pd.DataFrame([(pdf["h"].iloc[0], *f) for f in found], columns=["h", "path", "text"])
+    A host is no group anywhere: nodes are counted before they are shuffled, and its pages
+    are aligned in parts of about align_pages, each beginning with the wrappers.
+    """
+    h = f"h {texts.schema[host].dataType.simpleString()}"
+    pages = texts.select(F.col(host).alias("h"), "text", F.md5("text").alias("page")).filter("h IS NOT NULL AND text IS NOT NULL")
 
-    return sample.groupBy("h").applyInPandas(run, f"h {host_type}, path string, text string").withColumnRenamed("h", host)
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            seen: Counter = Counter()
+            for at, t in zip(b["h"], b["text"]):
+                if nodes := parse(t):
+                    seen.update((at, k) for k in _page_keys(nodes) | {b""})  # the empty key counts pages
+            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["h", "key", "n"])
+
+    counts = pages.select("h", "text").mapInPandas(count, f"{h}, key binary, n long").groupBy("h", "key").agg(F.sum("n").alias("n"))
+    counts = cut(counts.filter(F.col("n") >= least_share * least_pages))
+    of_host = counts.filter("key = X''").select("h", F.col("n").alias("pages")).filter(F.col("pages") >= least_pages)
+    shared = counts.filter("key <> X''").join(of_host, "h").filter(F.col("n") >= least_share * F.col("pages"))
+    hosts = shared.groupBy("h").agg(F.first("pages").alias("pages"), F.collect_list(F.struct("key", "n")).alias("shared"))
+    if hosts.isEmpty():
+        return _no_templates(texts, host)
+    hosts = broadcast_if_small(cut(hosts), 10_000)
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for at, page, t, s in zip(b["h"], b["page"], b["text"], b["shared"]):
+                nodes, n = parse(t), {x["key"]: x["n"] for x in s}
+                here = sorted(_page_keys(nodes) & n.keys())
+                rows += [(at, page, k, sum(n[x] for x in here), -len(nodes)) for k in here]
+            yield pd.DataFrame(rows, columns=["h", "page", "key", "score", "short"])
+
+    ranked = pages.join(hosts, "h").select("h", "page", "text", "shared").mapInPandas(rank, f"{h}, page string, key binary, score long, short long")
+    chosen = ranked.groupBy("h", "key").agg(F.max(F.struct("score", "short", "page")).alias("w")).groupBy("h", F.col("w.page").alias("page")).agg(F.collect_list("key").alias("keys"))
+    parts = F.ceil(F.col("pages") / align_pages).cast("long")
+    wrappers = pages.join(broadcast_if_small(cut(chosen), 10_000), ["h", "page"]).groupBy("h", "page").agg(F.first("text").alias("text"), F.first("keys").alias("keys"))
+    first = wrappers.join(hosts, "h").select("h", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.lit(0).alias("turn"), "page", "text", "keys")
+    then = pages.join(hosts, "h").select("h", F.pmod(F.xxhash64("page"), parts).alias("part"), F.lit(1).alias("turn"), "page", "text", F.lit(None).cast("array<binary>").alias("keys"))
+    rows = first.unionByName(then).repartition(tasks(texts), "h", "part").sortWithinPartitions("h", "part", "turn", "page")
+
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, known, last, equal = None, [], None, []
+        for b in batches:
+            constant: Counter = Counter()
+            for h_, part, turn, page, t, keys in zip(b["h"], b["part"], b["turn"], b["page"], b["text"], b["keys"]):
+                if (h_, part) != at:
+                    at, known, last = (h_, part), [], None
+                if turn == 0:
+                    tree, asked = block_tree(parse(t)), set(keys)
+                    nodes = [(path, node) for path, node in _paths(tree) if node[1] and _key(path, node[1]) in asked]
+                    known.append((tree, {id(node): (h_, page, i, path, node[1]) for i, (path, node) in enumerate(nodes)}))
+                    continue
+                if page != last:  # pages of one text follow each other
+                    tree = block_tree(parse(t))
+                    last, equal = page, [nodes[id(x)] for w, nodes in known for x, y in tree_match(w, tree)[1] if id(x) in nodes and x[1] == y[1]]
+                constant.update(equal)
+            yield pd.DataFrame([(*k, n) for k, n in constant.items()], columns=["h", "page", "i", "path", "text", "n"])
+
+    aligned = rows.mapInPandas(align, f"{h}, page string, i int, path string, text string, n long").groupBy("h", "page", "i", "path", "text").agg(F.sum("n").alias("n"))
+    return cut(aligned.join(hosts, "h").filter(F.col("n") >= least_share * F.col("pages")).select(F.col("h").alias(host), "path", "text").distinct())
 
 
 def without_template(nodes: list[Node], template: set[tuple[str, str]]) -> list[Node]:

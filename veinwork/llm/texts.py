@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from veinwork.session import table
 
 
-def section_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections with one row for each key; a key delivered twice keeps its longest text."""
+def section_rows(spark: SparkSession, sf_dir: str, together: str | None = None) -> DataFrame:
+    """Sections with one row for each key; a key delivered twice keeps its longest text.
+
+    With together = 'doc_id' they are shuffled once, by document, and may be joined by it as they are.
+    """
     s = table(spark, sf_dir, "sections").select("doc_id", "sec_no", "heading", "text", "page")
+    s = s.repartition(together) if together else s
     kept = s.groupBy("doc_id", "sec_no").agg(F.max(F.struct(F.length("text").alias("n"), "text", "heading", "page")).alias("r"))
     return kept.select("doc_id", "sec_no", "r.heading", "r.text", "r.page")
 
