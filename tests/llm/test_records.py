@@ -69,6 +69,37 @@ def test_copies_of_single_values():
     assert m.copies["b", "c"] > 0.99 and m.copies["a", "d"] < 0.01 and m.acc["b"] < m.acc["a"]
 
 
+def test_who_was_first_tells_who_copies(spark):
+    rnd, values = random.Random(1), []
+    for _ in range(200):
+        own = {s: 0.5 if rnd.random() < r else round(rnd.random(), 3) for s, r in (("a", 0.9), ("b", 0.6), ("d", 0.9))}
+        values.append(own | {"c": own["b"] if rnd.random() < 0.85 else 0.5})
+    values += [{"b": 0.25, "c": 0.25}] * 3  # only b and c speak here
+    trust = spark.createDataFrame([("a", 4)], "extracted_by string, trust int")
+
+    def fused(day):
+        rows = [(10 * i + j, f"n{i}", "x", None, own[s], s, T(2024, 1, day[s]), None) for i, own in enumerate(values) for j, s in enumerate(own)]
+        claims = survivors._claims(survivors.live_members(ent(spark, rows), trust), spark.createDataFrame([("x", f"n{i}", 10 * i) for i in range(len(values))], "entity_type string, key string, group_ord long"))
+        early = {(r.early, r.late): r["n"] for r in survivors._orders(claims).collect()}
+        return early, {r.group_ord: r for r in survivors.fused_fields(ent(spark, rows), trust).collect()}
+
+    shared = sum(own["b"] == own["c"] for own in values)
+    (late, c_later), (early, c_earlier) = fused({"a": 1, "b": 2, "c": 3, "d": 1}), fused({"a": 1, "b": 3, "c": 2, "d": 1})
+    assert late["b", "c"] == shared == early["c", "b"] and ("c", "b") not in late and ("a", "d") not in late
+    # c is better than b, as it corrects it here and there: what both say is worth less if c is the copy
+    assert all(c_later[g].n_sources == 2 and c_later[g].posterior < c_earlier[g].posterior - 0.001 for g in (2000, 2010, 2020))
+
+
+def test_direction_of_copying():
+    patterns, asked = copied_lists()
+    fit = lambda earlier: survivors.fit_sources(patterns, list(asked), 12, 0.1, 0.8, 20, earlier)
+    m, back = fit({("b", "c"): 90, ("c", "b"): 6, ("a", "d"): 50}), fit({("c", "b"): 90, ("b", "c"): 6})
+    assert m.copies["b", "c"] > 0.99 and m.copies["a", "d"] < 0.01  # a source late in everything is no copier
+    assert m.copier["c", "b"] > 0.99 and back.copier["c", "b"] < 0.01
+    assert m.originals_first(("a", "b", "c"), m.acc) == ["b", "a", "c"] and back.originals_first(("a", "b", "c"), m.acc) == ["c", "a", "b"]
+    assert fit(None).originals_first(("a", "b", "c"), m.acc) == sorted("abc", key=lambda s: -m.acc[s])
+
+
 def test_fused_fields(spark):
     trust = spark.createDataFrame([("manual", 4)], "extracted_by string, trust int")
     rows = [(1, "a", "x", ["one"], 0.5, "manual", T(2024, 1, 1), None), (2, "a", "x", ["one", "two"], 0.5, "llm", T(2024, 1, 1), None), (3, "A", "x", ["one"], 0.7, "ast", T(2024, 1, 1), None)]
