@@ -197,3 +197,46 @@ def test_cascades_equal_a_queue(spark):
         for r in run_cascade(df, sh, 0.2, 4).collect()
     }
     assert got == want and len(got) > 80
+
+
+def templates(n, seed):
+    """Names made of few words, so that most pairs share many bigrams."""
+    rnd = random.Random(seed)
+    out = set()
+    while len(out) < n:
+        w = list(f"{rnd.choice(['labour', 'credit', 'lagged', 'marine'])} {rnd.choice(['wage', 'supply', 'tariff', 'turnover'])} {rnd.choice(['rate', 'index', 'spiral'])} of {rnd.choice(['var', 'mor', 'jel'])}{rnd.choice(['stoe', 'jane', 'core'])}{rnd.choice(['port', 'gate', 'moor'])}")
+        for _ in range(rnd.choice([0, 0, 1, 3])):
+            w[rnd.randrange(len(w))] = rnd.choice("aeo é")
+        out.add("".join(w))
+    return sorted(out)
+
+
+def test_ratios_of_many_pairs_equal_the_library():
+    from veinwork.functions.matching import sequence_ratios
+
+    rnd = random.Random(3)
+    a = ["".join(rnd.choice("abc é\0\U0001f600") for _ in range(rnd.choice([0, 1, 5, 35, 70, 120, 210]))) for _ in range(600)]
+    b = ["".join(c for c in x if rnd.random() < 0.9) if rnd.random() < 0.7 else rnd.choice(a) for x in a]
+    assert sequence_ratios(a, b).tolist() == [SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)]
+
+
+def test_names_of_shared_words(spark):
+    from veinwork.functions.matching import bigram_bits, close_pairs, code_points, count_bits
+
+    same = [n for n in templates(300, 1) if len(n) == 31]
+    codes = code_points(same)
+    block = codes, count_bits(codes, [(ord(c), k) for c in "aeiortl " for k in (1, 2, 3)]), bigram_bits(codes)
+    y, x = close_pairs(block, block, 9)
+    assert len(y) < 0.5 * len(same) ** 2 and {(i, j) for i, s in enumerate(same) for j, t in enumerate(same) if SequenceMatcher(None, s, t).ratio() >= 0.85} <= set(zip(y.tolist(), x.tolist()))
+    a, b = templates(300, 1), [*templates(300, 2), "x" * 150, "x" * 140]
+    df = lambda xs: spark.createDataFrame([(x,) for x in xs], "name string")
+    near = lambda x, y: (m := SequenceMatcher(None, x, y)).real_quick_ratio() >= 0.85 and m.quick_ratio() >= 0.85 and m.ratio() >= 0.85
+    want = {(x, y) for x in a for y in b if near(x, y)}
+    assert {(r.a, r.b) for r in resolve.similar_names(df(a), df(b)).collect()} == want and len(want) > 300
+
+
+def test_agreement_of_names_of_shared_words(spark):
+    text = [(i, n, "a", None, i % 3 == 0) for i, n in enumerate(templates(150, 4))]
+    code = [(i, n.replace(" ", "_"), "ab"[i % 2], None, False) for i, n in enumerate(templates(150, 5))]
+    got = {tuple(r) for r in agree.matched_entities(made(spark, text), made(spark, code)).collect()}
+    assert got == assigned(text, code, 0.85) and {k for _, _, k in got} == {"same", "implements"}
