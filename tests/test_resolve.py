@@ -240,3 +240,11 @@ def test_agreement_of_names_of_shared_words(spark):
     code = [(i, n.replace(" ", "_"), "ab"[i % 2], None, False) for i, n in enumerate(templates(150, 5))]
     got = {tuple(r) for r in agree.matched_entities(made(spark, text), made(spark, code)).collect()}
     assert got == assigned(text, code, 0.85) and {k for _, _, k in got} == {"same", "implements"}
+
+
+def test_coverage_of_names_of_shared_words(spark):
+    names, code = templates(150, 6), templates(150, 7)
+    df = lambda xs: spark.createDataFrame([(x,) for x in xs], "name string")
+    want = sum(any(SequenceMatcher(None, c.strip(), n.strip()).ratio() >= 0.85 for n in names) for c in code)
+    r = agree.covered(df(code), df(names)).first()
+    assert (r.matched, r.total) == (want, 150) and 0 < want
