@@ -248,3 +248,12 @@ def test_coverage_of_names_of_shared_words(spark):
     want = sum(any(SequenceMatcher(None, c.strip(), n.strip()).ratio() >= 0.85 for n in names) for c in code)
     r = agree.covered(df(code), df(names)).first()
     assert (r.matched, r.total) == (want, 150) and 0 < want
+
+
+def test_grounding_of_names_of_shared_words(spark):
+    kind = "array<struct<repo:string,path:string,line:int,symbol:string>>"
+    names, code = templates(150, 8), templates(150, 9)
+    symbols = spark.createDataFrame([(i, c, [("r", "p", i, c)]) for i, c in enumerate(code)], f"ord long, name string, code_anchors {kind}")
+    got = {r.name: [a.symbol for a in r.code_anchors] for r in agree.grounded(spark.createDataFrame([(n, None) for n in names], f"name string, code_anchors {kind}"), symbols).collect()}
+    first = lambda n: [n] if n in code else [c for c in code if SequenceMatcher(None, n.strip(), c.strip()).ratio() >= 0.85][:1]
+    assert got == {n: first(n) for n in names} and any(got.values())
