@@ -257,3 +257,13 @@ def test_grounding_of_names_of_shared_words(spark):
     got = {r.name: [a.symbol for a in r.code_anchors] for r in agree.grounded(spark.createDataFrame([(n, None) for n in names], f"name string, code_anchors {kind}"), symbols).collect()}
     first = lambda n: [n] if n in code else [c for c in code if SequenceMatcher(None, n.strip(), c.strip()).ratio() >= 0.85][:1]
     assert got == {n: first(n) for n in names} and any(got.values())
+
+
+def test_replay_asks_only_what_may_match():
+    # one block of many records: before, each was compared with every entity
+    n = 60_000
+    rows = [(i, f"Name {i}", "k", [f"alias {i}"], [f"name {i - 1}"] if i % 3 == 2 else []) for i in range(n)]
+    rows += [(n, "ALIAS 7", "other", [], []), (n + 1, "new", "other", ["name 4", "name 9"], ["name 1"])]
+    got = dict(resolve.replay(rows))
+    # 2 follows 1 by ratio, and so on; an alias is known whatever the type; an own alias that names an entity joins the first of these
+    assert all(got[i] == (i - 1 if i % 3 == 2 else i) for i in range(n)) and got[n] == 7 and got[n + 1] == 4
