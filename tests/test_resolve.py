@@ -267,3 +267,21 @@ def test_replay_asks_only_what_may_match():
     got = dict(resolve.replay(rows))
     # 2 follows 1 by ratio, and so on; an alias is known whatever the type; an own alias that names an entity joins the first of these
     assert all(got[i] == (i - 1 if i % 3 == 2 else i) for i in range(n)) and got[n] == 7 and got[n + 1] == 4
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return row[-1]
+
+
+def test_edited_pairs_lose_none(spark):
+    rnd = random.Random(11)
+    rows = [(n, rnd.choice(["a", "b", None])) for n in [*templates(120, 10), *names(60, 10), "tax  wedge", ""]]
+    keys = lambda n: {w[:3] for w in n.split(" ")} - {""}
+    low = {(n.lower(), k) for n, k in rows if k}
+    want = {(x, y, k) for x, k in low for y, m in low if k == m and x < y and keys(x) & keys(y) and 2 * min(len(x), len(y)) >= 0.85 * (len(x) + len(y)) and edit_distance(x, y) <= 0.15 * max(len(x), len(y))}
+    assert {tuple(r) for r in resolve.edited_pairs(spark.createDataFrame(rows, "name string, entity_type string")).collect()} == want and len(want) > 10
