@@ -285,3 +285,13 @@ def test_edited_pairs_lose_none(spark):
     low = {(n.lower(), k) for n, k in rows if k}
     want = {(x, y, k) for x, k in low for y, m in low if k == m and x < y and keys(x) & keys(y) and 2 * min(len(x), len(y)) >= 0.85 * (len(x) + len(y)) and edit_distance(x, y) <= 0.15 * max(len(x), len(y))}
     assert {tuple(r) for r in resolve.edited_pairs(spark.createDataFrame(rows, "name string, entity_type string")).collect()} == want and len(want) > 10
+
+
+def test_blocking_pairs_are_made_once_in_chunks(spark):
+    rnd = random.Random(12)
+    rows = [(n, rnd.choice(["a", "b", None])) for n in [*templates(120, 12), *names(60, 12), "tax  wedge", ""]]
+    keys = lambda n: {w[:3] for w in n.split(" ")} - {""}
+    low = {(n.lower(), k) for n, k in rows if k}
+    want = sorted((x, y, k) for x, k in low for y, m in low if k == m and x < y and keys(x) & keys(y) and 2 * min(len(x), len(y)) >= 0.85 * (len(x) + len(y)))
+    df = spark.createDataFrame(rows, "name string, entity_type string")
+    assert all(sorted(tuple(r) for r in resolve.name_blocking_pairs(df, chunk=c).collect()) == want for c in (3, 500))
