@@ -295,3 +295,16 @@ def test_blocking_pairs_are_made_once_in_chunks(spark):
     want = sorted((x, y, k) for x, k in low for y, m in low if k == m and x < y and keys(x) & keys(y) and 2 * min(len(x), len(y)) >= 0.85 * (len(x) + len(y)))
     df = spark.createDataFrame(rows, "name string, entity_type string")
     assert all(sorted(tuple(r) for r in resolve.name_blocking_pairs(df, chunk=c).collect()) == want for c in (3, 500))
+
+
+def test_cascades_without_horizons_are_the_same(spark):
+    from veinwork.operators.cascade import run_cascade
+
+    mech = "struct<name:string,direction:string,time_lag_min:string,time_lag_max:string,conditions:array<struct<variable:string,operator:string,threshold:string,description:string,currently_met:boolean>>>"
+    m = [("m", "negative", "2 weeks", "1 year", [])]
+    claims = spark.createDataFrame([(1, "A", "B", 0.9, m), (2, "B", "C", 0.8, m), (3, "A", "C", 0.5, m)], f"ord long, source string, target string, confidence double, mechanisms array<{mech}>")
+    shock = spark.createDataFrame([("s", "A", "positive", {})], "shock_id string, entity string, direction string, regime_context map<string,string>")
+    cols = ["entity", "direction", "confidence", "causal_path", "n_incoming_channels", "incoming_directions", "all_paths", "time_horizon_min"]
+    with_, without = ({r.entity: tuple(r) for r in run_cascade(claims, shock, horizons=h).select(*cols).collect()} for h in (True, False))
+    assert {k: v[:-1] for k, v in with_.items()} == {k: v[:-1] for k, v in without.items()} and len(with_) == 3
+    assert with_["B"][-1] == "2 weeks" and not any(v[-1] for v in without.values())
